@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wavecrate.llm import exact_dedup as exact
-from wavecrate.llm import simhash
+from wavecrate.llm import packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +26,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, sf_dir, "documents")).drop("row_key")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_near_dedup, op4_exact_dedup)}
+def op8_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.kd_shards(_read(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op2_simhash_near_dedup,
+        op4_exact_dedup,
+        op8_kd_tree_sharding,
+        op9_nnls_packing,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact.ORACLE}

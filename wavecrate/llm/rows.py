@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecrate.llm.scratch import materialize
+from wavecrate.llm.scratch import materialize, small
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -28,27 +28,27 @@ def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col
     return out.select(*names)
 
 
-def numbered(df: DataFrame, group: list[str], tie: list[str], name: str, rows_per_bucket: int = 20_000, weight: str | None = None) -> DataFrame:
+#: Rows that one window of ``numbered`` sorts.
+BUCKET_ROWS = 1000
+
+
+def numbered(df: DataFrame, group: str, tie: list[str], name: str, sizes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Number the rows of each group gaplessly from 0 without gathering a group in one task.
 
-    Rows go to buckets by a hash of ``tie``; each bucket is numbered by a window
-    and shifted by the sizes of the buckets before it. Rows of a group that are
-    equal in ``tie`` share a bucket. ``df`` should be a materialised table: it is
-    read twice. ``weight``: add up this column in front of each row instead of
-    counting rows.
+    ``sizes`` has (group, n) for each group; a group of n rows is dealt to about
+    n / ``bucket_rows`` buckets by a hash of ``tie``. Each bucket is numbered by a
+    window and shifted by the rows of the buckets before it. Rows equal in ``tie``
+    share a bucket. Group values must not be null; there should be far fewer
+    groups than rows. ``df`` should be a materialised table, as it is read twice.
     """
-    total = df.count()
-    buckets = max(1, -(-total // rows_per_bucket))
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*tie), F.lit(buckets)).cast("int"))
-    keys = [*group, "__bucket"]
-    amount = F.sum(weight) if weight else F.count(F.lit(1))
-    sizes = dealt.groupBy(*keys).agg(amount.alias("__amount"))
-    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, F.coalesce(F.sum("__amount").over(before), F.lit(0)).alias("__start"))
-    starts = materialize(starts, "bucket-starts")
-    inside = Window.partitionBy(*keys).orderBy(*tie)
-    if weight:
-        within = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    else:
-        within = F.row_number().over(inside) - 1
-    return dealt.withColumn("__within", within).join(starts, keys).withColumn(name, (F.col("__within") + F.col("__start")).cast("long")).drop("__within", "__start", "__bucket")
+    parts = sizes.select(group, F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("int").alias("__parts"))
+    if small(sizes):
+        parts = F.broadcast(parts)
+    dealt = df.join(parts, group).withColumn("__bucket", F.pmod(F.xxhash64(*tie), F.col("__parts")).cast("int")).drop("__parts")
+    keys = [group, "__bucket"]
+    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    starts = materialize(counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")), "bucket-starts")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*tie)) - 1
+    out = dealt.withColumn("__within", inside).join(starts, keys)
+    return out.withColumn(name, (F.col("__within") + F.col("__start")).cast("long")).drop("__within", "__start", "__bucket")

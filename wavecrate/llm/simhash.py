@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from wavecrate.llm.components import connected_components
 from wavecrate.llm.rows import row_key
 from wavecrate.llm.scratch import materialize
+from wavecrate.shipping import ship
 
 #: Distinct fingerprints of one key that are compared pairwise; larger buckets go another, exact way.
 BUCKET = 16
@@ -63,6 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_key, fp) of every row; fp holds the 64 bits as a signed long."""
+    ship(docs.sparkSession)
     ident, text = F.col(id_col), F.col(text_col)
     rows = docs.select(ident.cast("long").alias("doc_id"), row_key(ident, text).alias("row_key"), text.cast("binary").alias("t"))
     return rows.mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
