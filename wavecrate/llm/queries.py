@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrate.llm import exact_dedup as exact
-from wavecrate.llm import packing, sharding, simhash
+from wavecrate.llm import langid, packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents")).drop("row_key")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
         op4_exact_dedup,
         op8_kd_tree_sharding,
         op9_nnls_packing,
+        op10_kneser_ney_langid,
     )
 }
 
