@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrate.llm import exact_dedup as exact
-from wavecrate.llm import langid, packing, sharding, simhash
+from wavecrate.llm import decontam, htmltext, langid, packing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op6_consensus_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(_read(spark, sf_dir, "pages"))
+
+
+def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op8_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.kd_shards(_read(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -44,6 +52,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         op2_simhash_near_dedup,
         op4_exact_dedup,
+        op6_consensus_html_text,
+        op7_spaced_seed_decontamination,
         op8_kd_tree_sharding,
         op9_nnls_packing,
         op10_kneser_ney_langid,
