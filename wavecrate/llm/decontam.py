@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavecrate.llm.rows import row_key
+from wavecrate.llm.rows import drop_rows, row_key
 from wavecrate.llm.scratch import materialize, small
 
 #: Ones are compared, zeros ignored. Both have six ones.
@@ -117,3 +117,9 @@ def contaminated(
         (-F.col("b.minus")).cast("long").alias("at"),
         F.lit(True).alias("contaminated"),
     )
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, with all their columns."""
+    keys = materialize(contaminated(docs, benchmark, **how).select("row_key").distinct(), "contaminated-rows")
+    return drop_rows(docs, keys, how.get("id_col", "doc_id"), how.get("text_col", "text"))

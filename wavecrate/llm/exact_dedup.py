@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecrate.llm.rows import row_key
+from wavecrate.llm.rows import keep_rows, row_key
+from wavecrate.llm.scratch import materialize
 
 #: Salts of a digest; a bit mask of one long records which of them hold a content.
 SALTS = 32
@@ -95,6 +96,13 @@ def exact_dedup(
     )
 
 
+def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    told = exact_dedup(docs, id_col, text_col).groupBy("row_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    told = materialize(told.filter("kept"), "kept-rows")
+    return keep_rows(docs, told.select("row_key"), id_col, text_col, repeated=told.filter("n > 1").select("row_key"))
+
+
 ORACLE = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,6 +217,27 @@ def judge(scorer: Scorer, texts: list[list[str]]) -> list[tuple[str, float, floa
     return out
 
 
+def judge_all(scorer: Scorer, texts: pa.Array) -> list[tuple[str, float, float | None, bool]]:
+    found, waiting, chars = [], [], 0
+    for text in texts:
+        t = text.as_py()
+        waiting.append(words(t))
+        chars += len(t or "")
+        if chars >= BLOCK:
+            found += judge(scorer, waiting)
+            waiting, chars = [], 0
+    return found + judge(scorer, waiting)
+
+
+def _scorer(mark: int, shared: Broadcast) -> Scorer:
+    """The worker's scorer of a broadcast model; one model is held at a time."""
+    scorer = _SCORERS.get(mark)
+    if scorer is None:
+        _SCORERS.clear()
+        scorer = _SCORERS.setdefault(mark, Scorer(shared.value))
+    return scorer
+
+
 def _held_out(ident: Column) -> Column:
     """Whether a row is kept from learning: checksum of its id, modulo 4, is 2. A null id learns nothing and is not held out."""
     return F.crc32(ident.cast("string")) % 4 == 2
@@ -229,20 +251,9 @@ def _predicted(rows: DataFrame, model: Model) -> DataFrame:
     mark = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _SCORERS.get(mark)
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS.setdefault(mark, Scorer(shared.value))
+        scorer = _scorer(mark, shared)
         for batch in batches:
-            found, waiting, chars = [], [], 0
-            for text in batch.column(2):
-                t = text.as_py()
-                waiting.append(words(t))
-                chars += len(t or "")
-                if chars >= BLOCK:
-                    found += judge(scorer, waiting)
-                    waiting, chars = [], 0
-            found += judge(scorer, waiting)
+            found = judge_all(scorer, batch.column(2))
             columns = list(zip(*found)) or [()] * 4
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "row_key", "lang_pred", "score", "entropy", "rejected"])
@@ -307,3 +318,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     if not model.langs:
         return rows.select("doc_id", "row_key", held, F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
     return _predicted(rows, model).select("doc_id", "row_key", held, "lang_pred", "score", "entropy", "rejected")
+
+
+def accepted_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` that identification doesn't reject, with all their columns.
+
+    Where nothing can be learned, nothing is rejected.
+    """
+    spark = docs.sparkSession
+    model = model or train(docs, id_col, text_col, lang_col)
+    if not model.langs:
+        return docs
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+    mark, place = shared._jbroadcast.id(), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(mark, shared)
+        for batch in batches:
+            yield batch.filter(pa.array([not r[3] for r in judge_all(scorer, batch.column(place))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

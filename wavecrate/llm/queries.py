@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrate.llm import exact_dedup as exact
-from wavecrate.llm import decontam, htmltext, langid, packing, sharding, simhash
+from wavecrate.llm import decontam, htmltext, langid, packing, pii, secrets, sharding, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,14 +18,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_linked_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_read(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("row_key")
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents")).drop("row_key", "root")
+
+
+def op3_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_read(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op5_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_read(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op6_consensus_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(_read(spark, sf_dir, "pages"))
 
@@ -50,8 +62,11 @@ def op10_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_linked_secret_scan,
         op2_simhash_near_dedup,
+        op3_anchored_pii,
         op4_exact_dedup,
+        op5_sentence_span_dedup,
         op6_consensus_html_text,
         op7_spaced_seed_decontamination,
         op8_kd_tree_sharding,

@@ -13,21 +13,31 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id.cast("string"), doc_id.isNull(), text, text.isNull())
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
-    """The rows of ``docs`` whose row key is in ``keys`` (one column ``row_key``), with all their columns.
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeated: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose row key is in ``keys`` (row_key, materialised), with all their columns.
 
-    ``once``: of rows that share id and text only one stays.
+    ``repeated``: keys (row_key) of rows that stand more than once in ``docs``; of
+    each of those one row stays.
     """
     names = docs.columns
-    held = docs.select(*[F.col(c) for c in names], row_key(F.col(id_col), F.col(text_col)).alias("__row_key"))
-    chosen = keys.select(F.col("row_key").alias("__row_key")).distinct()
-    out = held.join(chosen, "__row_key", "left_semi")
-    if once:
-        w = Window.partitionBy("__row_key").orderBy(F.col(id_col))
-        out = out.withColumn("__nth", F.row_number().over(w)).filter("__nth = 1")
+    held = docs.withColumn("__row_key", row_key(F.col(id_col), F.col(text_col)))
+    chosen = keys.select(F.col("row_key").alias("__row_key"))
+    out = held.join(F.broadcast(chosen) if small(keys) else chosen, "__row_key", "left_semi")
+    if repeated is not None and not repeated.isEmpty():
+        again = repeated.select(F.col("row_key").alias("__row_key"))
+        again = F.broadcast(again) if small(repeated) else again
+        once = out.join(again, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+        out = out.join(again, "__row_key", "left_anti").unionByName(once)
     return out.select(*names)
 
 
+def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose row key is not in ``keys`` (row_key, materialised)."""
+    held = docs.withColumn("__row_key", row_key(F.col(id_col), F.col(text_col)))
+    gone = keys.select(F.col("row_key").alias("__row_key")).distinct()
+    return held.join(F.broadcast(gone) if small(keys) else gone, "__row_key", "left_anti").select(*docs.columns)
+
+
 #: Rows that one window of ``numbered`` sorts.
 BUCKET_ROWS = 1000
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavecrate.llm.components import connected_components
-from wavecrate.llm.rows import row_key
+from wavecrate.llm.rows import keep_rows, row_key
 from wavecrate.llm.scratch import materialize
 from wavecrate.shipping import ship
 
@@ -148,11 +148,12 @@ def _neighbours(prints: DataFrame, bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row_key, fingerprint, component_id, n_links.
+    """One row per row of ``docs``: doc_id, row_key, fingerprint, component_id, n_links, root.
 
     Fingerprints link at ``bits`` or fewer differing bits; component_id is the
     least non-null id reachable (null if all are null); n_links counts the links
-    found for the row's fingerprint. Null and wordless texts have
+    found for the row's fingerprint; root names the component, also where ids are
+    null. Null and wordless texts have
     fingerprint zero and link like any other. Repeated rows and ties share their
     fingerprint and component. An empty table gives an empty result. Only the two
     named columns are read.
@@ -163,9 +164,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = materialize(connected_components(edges), "components")
     linked = roots.join(classes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first_id").alias("component_id"))
     degree = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    known = roots.join(linked, "root").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked"))
+    known = roots.join(linked, "root").select(F.col("node").alias("fp"), "root", "component_id", F.lit(True).alias("linked"))
     named = classes.join(known, "fp", "left").join(degree, "fp", "left")
     named = materialize(
-        named.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named"
+        named.select(
+            "fp",
+            F.coalesce("root", "fp").alias("root"),
+            F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        ),
+        "named",
     )
-    return prints.join(named, "fp").select("doc_id", "row_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    return prints.join(named, "fp").select("doc_id", "row_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links", "root")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
+    """One row of ``docs`` per component, with all its columns: of the least id, null ids last."""
+    told = near_duplicates(docs, id_col, text_col, bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    keys = materialize(told.groupBy("root").agg(first).select("first.row_key"), "representatives")
+    repeated = told.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row_key")
+    repeated = materialize(repeated.join(keys, "row_key", "left_semi"), "repeated-rows")
+    return keep_rows(docs, keys, id_col, text_col, repeated)
