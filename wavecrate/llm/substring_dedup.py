@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrate.llm.rows import row_key
-from wavecrate.llm.scratch import materialize, small
+from wavecrate.llm.scratch import materialize
 from wavecrate.shipping import ship
 
 #: Consecutive sentences in a span, at least.
@@ -135,12 +135,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(found, "spans")
     counts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1").select("hash", "first_id")
     counts = materialize(counts, "repeated-spans")
-    places = found.join(F.broadcast(counts) if small(counts) else counts, "hash")
+    places = found.join(counts, "hash")
     later = places.filter("id > first_id").select("row_key", "first", "length")
     # Within the first document, the first of its places stays; the group is one document's at most.
     order = Window.partitionBy("hash", "id").orderBy("first", "row_key")
     again = places.filter("id = first_id").withColumn("nth", F.row_number().over(order)).filter("nth > 1").select("row_key", "first", "length")
     covers = later.union(again).groupBy("row_key").agg(F.collect_list(F.struct("first", "length")).alias("covers"))
     covers = materialize(covers, "covered")
-    touched = rows.join(F.broadcast(covers) if small(covers) else covers, "row_key")
+    touched = rows.join(covers, "row_key")
     return touched.select("doc_id", "row_key", "text", "covers").mapInArrow(_cleaned, "doc_id long, row_key long, text string, n_removed long, removed string")
