@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ def ascii_fold(text: pd.Series) -> pd.Series:
     return text.map(fold, na_action="ignore")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def collapse(text: Column) -> Column:
     """White space runs become one space; ends trimmed."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -130,18 +136,30 @@ def set_title(title: Column, channel: Column | None = None) -> Column:
             ends = F.endswith(F.lower(t), F.concat(F.lit(mark), low)) & (size > 0)
             t = F.when(ends, F.rtrim(F.substr(t, F.lit(1), F.greatest(F.lit(0), F.length(t) - size - len(mark))))).otherwise(t)
     t = F.regexp_replace(t, r"@(\S)", "@ $1")
-    t = F.regexp_replace(t, " \\| | – | — ", " - ")
-    found, day = F.lit(False), F.lit(None).cast("date")
-    for p in (r"\[(\d{1,2})[./\-](\d{1,2})[./\-](\d{2,4})\]", r"\((\d{1,2})[./\-](\d{1,2})[./\-](\d{2,4})\)", r"(\d{2})[.\-](\d{2})[.\-](\d{4})$"):
-        here = ~found & t.rlike(p)
-        day = F.when(here, _date(*[F.regexp_extract(t, p, i) for i in (1, 2, 3)])).otherwise(day)
-        held = F.regexp_extract(t, p, 0)
-        at = F.position(held, t)
-        t = F.when(here, F.concat(F.substr(t, F.lit(1), at - 1), F.substr(t, at + F.length(held)))).otherwise(t)
-        found = found | here
-    for p in DECORATIONS:
-        t = F.regexp_replace(t, "(?i)" + p, "")
-    t = F.lower(collapse(t))
+    return let(F.regexp_replace(t, " \\| | – | — ", " - "), _undated)
+
+
+#: Dates in titles, in the order tried; the first that occurs is taken out.
+DATES = (r"\[(\d{1,2})[./\-](\d{1,2})[./\-](\d{2,4})\]", r"\((\d{1,2})[./\-](\d{1,2})[./\-](\d{2,4})\)", r"(\d{2})[.\-](\d{2})[.\-](\d{4})$")
+
+
+def _undated(t: Column) -> Column:
+    held, day = F.lit(""), F.lit(None).cast("date")
+    for p in reversed(DATES):
+        held = F.when(t.rlike(p), F.regexp_extract(t, p, 0)).otherwise(held)
+        day = F.when(t.rlike(p), _date(*[F.regexp_extract(t, p, i) for i in (1, 2, 3)])).otherwise(day)
+
+    def rest(h: Column) -> Column:
+        at = F.position(h, t)
+        plain = F.when(h == "", t).otherwise(F.concat(F.substr(t, F.lit(1), at - 1), F.substr(t, at + F.length(h))))
+        for p in DECORATIONS:
+            plain = F.regexp_replace(plain, "(?i)" + p, "")
+        return F.lower(collapse(plain))
+
+    return let(F.struct(let(held, rest).alias("t"), day.alias("day")), lambda x: _parts(x["t"], x["day"]))
+
+
+def _parts(t: Column, day: Column) -> Column:
     digits, roman, fraction = r"(?:part|pt\.?|p)\s*(\d+)\s*$", r"(?:part|pt\.?)\s+(i{1,3}|iv|vi{0,3}|v|ix|x)\s*$", r"(\d{1,2})\s*/\s*(\d{1,2})\s*$"
     numerals = F.create_map(*[F.lit(x) for pair in ROMANS.items() for x in pair])
     n, m = (F.regexp_extract(t, fraction, i).try_cast("int") for i in (1, 2))
@@ -178,6 +196,10 @@ SEPARATORS = (
 )
 
 
+def _with_role(later: str) -> Callable[[Column, Column], Column]:
+    return lambda t, i: F.struct(t.alias("token"), F.when(i == 0, "primary").otherwise(later).alias("role"), i.alias("position"))
+
+
 def artist_parts(raw: Column) -> Column:
     """struct(rule, parts): rule is single, local, comma or ampersand; parts are struct(token, role, position).
 
@@ -188,8 +210,8 @@ def artist_parts(raw: Column) -> Column:
     alone = F.struct(F.lit("single").alias("rule"), F.array(F.struct(s.alias("token"), F.lit("primary").alias("role"), F.lit(0).alias("position"))).alias("parts"))
     out = alone
     for pattern, rule, later, guards in reversed(SEPARATORS):
-        split = F.filter(F.transform(F.split(s, pattern), F.trim), lambda t: t != "")
-        parts = F.transform(split, lambda t, i, later=later: F.struct(t.alias("token"), F.when(i == 0, "primary").otherwise(later).alias("role"), i.alias("position")))
+        split = F.filter(F.transform(F.split(s, pattern), lambda t: F.trim(t)), lambda t: t != "")
+        parts = F.transform(split, _with_role(later))
         found = F.struct(F.lit(rule).alias("rule"), parts.alias("parts"))
         if "article" in guards:
             whole = F.exists(F.slice(split, 2, 100), lambda t: F.lower(F.element_at(F.split(t, r"\s+"), 1)).isin(*ARTICLES))

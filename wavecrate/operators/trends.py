@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavecrate.functions.time import decay, release_freshness
 from wavecrate.params import OTHER_PILLAR, Trends
+from wavecrate.plans.ranking import global_rank
 from wavecrate.plans.visibility import root_sets
 
 
@@ -64,4 +65,4 @@ def ranked(scores: DataFrame, families: DataFrame) -> DataFrame:
     out = scores.join(families.withColumnRenamed("id", "catalog_id"), "catalog_id", "left")
     order = [F.desc("score"), F.col("catalog_id")]
     out = out.withColumn("rank_in_family", F.when(F.col("family").isNotNull(), F.row_number().over(Window.partitionBy("family").orderBy(*order))))
-    return out.withColumn("rank_global", F.row_number().over(Window.orderBy(*order)))
+    return global_rank(out, "score", "catalog_id", "rank_global")
