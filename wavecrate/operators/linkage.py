@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wavecrate.functions.text import token_jaccard, track_title
 from wavecrate.params import SetMatching
 from wavecrate.plans.topk import one_per
+from wavecrate.scratch import materialize
 from wavecrate.shipping import ship
 
 
@@ -139,14 +140,14 @@ def attach_groups(pairs: DataFrame, rounds: int = 30) -> DataFrame:
 
     Labels spread along the pairs and halve their paths until none changes.
     """
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("x", "y").distinct().persist()
-    labels = edges.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node"))
+    edges = materialize(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("x", "y").distinct(), "attach-pairs")
+    labels = materialize(edges.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node")), "attach-labels")
     before = None
     for _ in range(rounds):
         near = edges.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
         labels = labels.join(near, F.col("node") == F.col("x"), "left").select("node", F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = labels.join(up, "label").select("node", F.col("above").alias("label")).persist()
+        labels = materialize(labels.join(up, "label").select("node", F.col("above").alias("label")), "attach-labels")
         mark = labels.agg(F.sum("label"), F.count(F.lit(1))).first()
         if mark == before:
             break
