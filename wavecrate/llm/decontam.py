@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from wavecrate.llm.rows import drop_rows, row_key
 from wavecrate.llm.scratch import materialize, small
 
-#: Ones are compared, zeros ignored. Both have six ones.
-MASKS = ("1111011", "110110011")
+#: Ones are compared, zeros ignored. In 13 tokens or more, one replaced in five leaves a window that one of the two fits, wherever they are.
+MASKS = ("111101", "110111")
 MIN_OVERLAP = 13
 #: One mismatch weighs as much as this many matches: stretches agree in 4 of 5 at least.
 PENALTY = 4

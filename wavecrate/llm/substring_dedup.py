@@ -31,8 +31,8 @@ MIN_WORDS = 20
 LONG = 16
 SENTENCE = re.compile(r"\s*(\S.*?(?:[.!?]+(?=\s|\Z)|(?=\n)|\Z))", re.DOTALL)
 WORD = re.compile(r"\S+")
-#: Stands for a null id, which comes last.
-LAST = (1 << 63) - 1
+#: Null ids come after all others (below this), each text in a place of its own.
+LAST = 1 << 62
 
 
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
@@ -130,7 +130,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    ident = F.coalesce("doc_id", F.lit(LAST))
+    ident = F.coalesce("doc_id", F.lit(LAST) + F.call_function("shiftrightunsigned", F.col("row_key"), F.lit(2)))
     found = rows.select(ident.alias("id"), "row_key", "text").mapInArrow(_spans(run, min_words), "id long, row_key long, first int, length int, hash long")
     found = materialize(found, "spans")
     counts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1").select("hash", "first_id")
@@ -139,7 +139,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = places.filter("id > first_id").select("row_key", "first", "length")
     # Within the first document, the first of its places stays; the group is one document's at most.
     order = Window.partitionBy("hash", "id").orderBy("first", "row_key")
-    again = places.filter("id = first_id").withColumn("nth", F.row_number().over(order)).filter("nth > 1").select("row_key", "first", "length")
+    again = places.filter("id = first_id").withColumn("nth", F.dense_rank().over(order)).filter("nth > 1").select("row_key", "first", "length")
     covers = later.union(again).groupBy("row_key").agg(F.collect_list(F.struct("first", "length")).alias("covers"))
     covers = materialize(covers, "covered")
     touched = rows.join(covers, "row_key")
