@@ -39,7 +39,7 @@ def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col
 
 
 #: Rows that one window of ``numbered`` sorts.
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 400
 
 
 def numbered(df: DataFrame, group: str, tie: list[str], name: str, sizes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
