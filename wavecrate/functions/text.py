@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavecrate import patterns as P
 from wavecrate.params import ARTICLES, DECORATIONS, GENERIC_TERMS, PRO_SOCIETIES, ROMANS
 
 
@@ -55,19 +56,19 @@ def normalized_key(title: Column, artist: Column, unicode: bool = False) -> Colu
 
 def punct_fold(folded: Column) -> Column:
     """Match key of an already folded name: dots, commas, apostrophes, hyphens and bullets dropped."""
-    return collapse(F.regexp_replace(folded, r"[.,'\-·•]", ""))
+    return collapse(F.regexp_replace(folded, P.FOLDED_PUNCTUATION, ""))
 
 
 def strip_artist_noise(name: Column) -> Column:
     """A leading marketplace bullet and a trailing rights society go; a name never becomes empty."""
-    cut = F.regexp_replace(name, r"(?i)^\s*(?:vinyl\s*)?[•·]\s*", "")
+    cut = F.regexp_replace(name, P.BULLET_PREFIX, "")
     cut = F.regexp_replace(cut, r"(?i)\s*\(\s*(?:" + "|".join(PRO_SOCIETIES) + r")\s*\)\s*$", "")
     return F.when(cut == name, name).otherwise(F.coalesce(F.nullif(collapse(cut), F.lit("")), name))
 
 
 def looks_acronym(name: Column) -> Column:
     s = F.trim(F.coalesce(name, F.lit("")))
-    return s.rlike(r"^(?:\p{L}\.){2,}\p{L}?\.?$") | s.rlike(r"(?:^|\s)\S\s+\S(?:\s|$)")
+    return s.rlike(P.DOTTED_INITIALS) | s.rlike(r"(?:^|\s)\S\s+\S(?:\s|$)")
 
 
 def tokens(text: Column) -> Column:
@@ -83,9 +84,9 @@ def is_stylized(name: Column) -> Column:
 def track_title(title: Column) -> Column:
     """Feature credits and the original-mix marker go; every other version marker stays."""
     t = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    t = F.regexp_replace(t, r"\s*[(\[]\s*(?:featuring|feat|ft)\b\.?\s[^)\]]*[)\]]", "")
-    t = F.regexp_replace(t, r"\s*[(\[]\s*original(?:\s+mix)?\s*[)\]]\s*$", "")
-    t = F.regexp_replace(t, r"\s+(?:featuring|feat|ft)\b\.?\s[^(\[]*$", "")
+    t = F.regexp_replace(t, P.FEATURE_BRACKETS, "")
+    t = F.regexp_replace(t, P.ORIGINAL_MARK, "")
+    t = F.regexp_replace(t, P.FEATURE_TAIL, "")
     return collapse(t)
 
 
@@ -96,8 +97,7 @@ def title_key(folded: Column) -> Column:
 
 def strip_safe_suffixes(title: Column) -> Column:
     """Markers that don't change the recording's identity go; null if nothing does."""
-    mix = r"(?:Extended|Original|Radio|Club|Dub|Instrumental|Short|Long)(?:\s+(?:Mix|Edit|Version))?"
-    out = F.trim(F.regexp_replace(title, rf"(?i)\s*[(\[]\s*(?:{mix}|Album Version|Main Mix|Remastered(?:\s+\d{{4}})?|feat\.?\s+[^)\]]*|ft\.?\s+[^)\]]*)\s*[)\]]", ""))
+    out = F.trim(F.regexp_replace(title, P.SAFE_SUFFIX, ""))
     out = F.trim(F.regexp_replace(out, r"\(\s*\)", ""))
     return F.when((out != "") & (out != title), out)
 
@@ -114,7 +114,7 @@ def strip_generic_parens(title: Column) -> Column:
 def first_artist(artist: Column) -> Column:
     """The part before the first separator that occurs, in the order tried; null if none does."""
     out = F.lit(None).cast("string")
-    for sep in reversed((", ", " & ", " feat. ", " feat ", " ft. ", " ft ", " x ", " X ")):
+    for sep in reversed(P.FIRST_ARTIST):
         out = F.when(F.contains(artist, F.lit(sep)), F.trim(F.substring_index(artist, sep, 1))).otherwise(out)
     return out
 
@@ -136,16 +136,12 @@ def set_title(title: Column, channel: Column | None = None) -> Column:
             ends = F.endswith(F.lower(t), F.concat(F.lit(mark), low)) & (size > 0)
             t = F.when(ends, F.rtrim(F.substr(t, F.lit(1), F.greatest(F.lit(0), F.length(t) - size - len(mark))))).otherwise(t)
     t = F.regexp_replace(t, r"@(\S)", "@ $1")
-    return let(F.regexp_replace(t, " \\| | – | — ", " - "), _undated)
-
-
-#: Dates in titles, in the order tried; the first that occurs is taken out.
-DATES = (r"\[(\d{1,2})[./\-](\d{1,2})[./\-](\d{2,4})\]", r"\((\d{1,2})[./\-](\d{1,2})[./\-](\d{2,4})\)", r"(\d{2})[.\-](\d{2})[.\-](\d{4})$")
+    return let(F.regexp_replace(t, P.SEPARATORS, " - "), _undated)
 
 
 def _undated(t: Column) -> Column:
     held, day = F.lit(""), F.lit(None).cast("date")
-    for p in reversed(DATES):
+    for p in reversed(P.SET_DATES):
         held = F.when(t.rlike(p), F.regexp_extract(t, p, 0)).otherwise(held)
         day = F.when(t.rlike(p), _date(*[F.regexp_extract(t, p, i) for i in (1, 2, 3)])).otherwise(day)
 
@@ -160,10 +156,10 @@ def _undated(t: Column) -> Column:
 
 
 def _parts(t: Column, day: Column) -> Column:
-    digits, roman, fraction = r"(?:part|pt\.?|p)\s*(\d+)\s*$", r"(?:part|pt\.?)\s+(i{1,3}|iv|vi{0,3}|v|ix|x)\s*$", r"(\d{1,2})\s*/\s*(\d{1,2})\s*$"
+    digits, roman, fraction = P.PART_DIGITS, P.PART_ROMAN, P.PART_FRACTION
     numerals = F.create_map(*[F.lit(x) for pair in ROMANS.items() for x in pair])
     n, m = (F.regexp_extract(t, fraction, i).try_cast("int") for i in (1, 2))
-    part_of = ~t.rlike(r"\d{1,2}\s*/\s*\d{1,2}\s*/\s*\d{2,4}\s*$") & t.rlike(fraction) & (n <= m) & m.between(2, 20)
+    part_of = ~t.rlike(P.DATE_FRACTION) & t.rlike(fraction) & (n <= m) & m.between(2, 20)
 
     def before(p: str) -> Column:
         return F.regexp_replace(F.regexp_replace(t, p, ""), r"[ \-]+$", "")
@@ -183,8 +179,8 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 #: Separators in the order tried: pattern, rule, role of later parts, guards.
 SEPARATORS = (
-    (r"(?i)\s+(?:feat\.?|featuring|ft\.?|vs\.?)\s+", "local", "featured", ""),
-    (r"(?i)\s+(?:presents|présente|pres\.?)\s+", "local", "primary", ""),
+    (P.FEATURING, "local", "featured", ""),
+    (P.PRESENTING, "local", "primary", ""),
     (r",", "comma", "primary", ""),
     (r" & ", "ampersand", "primary", ""),
     (r" \+ ", "ampersand", "primary", ""),
@@ -224,9 +220,8 @@ def artist_parts(raw: Column) -> Column:
 
 def is_id_track(title: Column, artist: Column) -> Column:
     """An unidentified entry of a tracklist."""
-    marks = ("id", "id - id", "?", "??", "unknown", "")
     t, a = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (title, artist))
-    return (t.isin(*marks) & a.isin(*marks)) | (t == "")
+    return (t.isin(*P.UNIDENTIFIED) & a.isin(*P.UNIDENTIFIED)) | (t == "")
 
 
 def search_match(query: str, *columns: Column) -> Column:

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from wavecrate.functions.text import artist_parts, ascii_fold, collapse, looks_acronym, normalize, punct_fold, strip_artist_noise
 from wavecrate.params import NOT_FOUND
+from wavecrate.patterns import FLAT_ARTISTS
 from wavecrate.plans.topk import one_per, top_k
 from wavecrate.shipping import ship
 
 FAN_FLOOR = 1000
 FAN_RATIO = 10
-#: Fixed value: separators of a flat artist text.
-SPLIT = r"(?i)\s*(?:,\s*|\s+&\s+|\s+feat\.?\s+|\s+ft\.?\s+|\s+x\s+|\s+vs\.?\s+)"
 
 
 def folded(df: DataFrame, name: str, out: str = "fold") -> DataFrame:
@@ -138,7 +137,7 @@ def resync(catalog: DataFrame, links: DataFrame, artists: DataFrame) -> DataFram
     both = catalog.filter(F.trim("artist") != "").select("id", "artist").join(flat_from_links(links, artists).withColumnRenamed("catalog_id", "id"), "id")
     both = folded(folded(both, "artist", "a"), "flat", "b").withColumn("a", collapse(F.col("a"))).withColumn("b", collapse(F.col("b")))
     apart = (F.col("a") != "") & (F.col("b") != "") & ~F.contains("a", "b") & ~F.contains("b", "a")
-    toks = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, SPLIT), lambda t: F.trim(t)), lambda t: t != ""))
+    toks = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, FLAT_ARTISTS), lambda t: F.trim(t)), lambda t: t != ""))
     mixed = (F.size(F.array_intersect(toks("a"), toks("b"))) > 0) & (F.size(F.array_except(toks("a"), toks("b"))) > 0)
     return both.select("id", "artist", "flat", F.when(~apart, "coherent").when(mixed, "ambiguous").otherwise("resync").alias("outcome"))
 

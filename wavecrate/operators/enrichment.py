@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrate.functions.text import strip_safe_suffixes, title_key, track_title
-from wavecrate.operators.artists import SPLIT, folded
+from wavecrate.operators.artists import folded
+from wavecrate.patterns import FLAT_ARTISTS
 from wavecrate.plans.topk import one_per, top_k
 
 
@@ -18,7 +19,7 @@ def hit_matches(pairs: DataFrame) -> DataFrame:
     x = pairs.withColumns({"__a": F.coalesce("artist", F.lit("")), "__h": F.coalesce("hit_artist", F.lit("")), "__t": track_title(F.col("title")), "__u": track_title(F.col("hit_title"))})
     for c in ("__a", "__h", "__t", "__u"):
         x = folded(x, c, c)
-    names = lambda c: F.filter(F.transform(F.split(c, SPLIT), lambda t: F.trim(t)), lambda t: t != "")
+    names = lambda c: F.filter(F.transform(F.split(c, FLAT_ARTISTS), lambda t: F.trim(t)), lambda t: t != "")
     overlap = F.exists(names("__a"), lambda w: F.exists(names("__h"), lambda g: F.contains(g, w) | F.contains(w, g)))
     artist = (F.col("__a") == "") | overlap
     t, u = title_key(F.col("__t")), title_key(F.col("__u"))
