@@ -33,6 +33,8 @@ SAMPLE = 800
 CALIBRATION = 300
 #: Words that a worker remembers, and the longest that it does.
 MEMORY, LONGEST = 200_000, 40
+#: Rows that are filtered at once.
+SLICE = 500
 #: Characters scored at once.
 BLOCK = 400_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -336,6 +338,8 @@ def accepted_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(mark, shared)
         for batch in batches:
-            yield batch.filter(pa.array([not r[3] for r in judge_all(scorer, batch.column(place))], pa.bool_()))
+            for first in range(0, batch.num_rows, SLICE):  # so that never a whole batch is copied
+                part = batch.slice(first, SLICE)
+                yield part.filter(pa.array([not r[3] for r in judge_all(scorer, part.column(place))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
