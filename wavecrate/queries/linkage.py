@@ -152,7 +152,8 @@ def K04_genre_merge(b: Bed) -> DataFrame:
            CASE WHEN c.playlist_id IS NOT NULL THEN NULL WHEN s.playlist_id IN (SELECT playlist_id FROM crawl) AND s.removed_at IS NULL THEN DATE '2001-01-01' ELSE s.removed_at END AS removed_at,
            CASE WHEN s.playlist_id IS NULL THEN 'inserted' WHEN c.playlist_id IS NOT NULL AND s.removed_at IS NOT NULL THEN 'restored'
                 WHEN c.playlist_id IS NULL AND s.playlist_id IN (SELECT playlist_id FROM crawl) AND s.removed_at IS NULL THEN 'removed' ELSE 'kept' END AS change
-    FROM st s FULL OUTER JOIN crawl c ON c.playlist_id = s.playlist_id AND c.catalog_id = s.catalog_id"""
+    FROM st s FULL OUTER JOIN crawl c ON c.playlist_id = s.playlist_id AND c.catalog_id = s.catalog_id""",
+    text=("detected_at", "removed_at"),
 )
 def K05_diff_lifecycle(b: Bed) -> DataFrame:
     state = b.radar_tracks.filter("not initial").select("playlist_id", "catalog_id").distinct()
@@ -181,7 +182,8 @@ def P03_cliques(b: Bed) -> DataFrame:
 
 
 @query(
-    "SELECT deezer_id, arg_min(id, n) AS id, arg_min(bpm, n) FILTER (WHERE bpm IS NOT NULL) AS bpm, arg_min(label, n) FILTER (WHERE label IS NOT NULL) AS label, arg_min(isrc, n) FILTER (WHERE isrc IS NOT NULL) AS isrc, bool_or(has_artwork) AS has_artwork, max(attempts) AS attempts, max(searched_at) AS searched_at, CASE WHEN bool_or(scope = 'shared') THEN 'shared' ELSE 'private' END AS scope, count(*) AS merged FROM (SELECT *, row_number() OVER (PARTITION BY deezer_id ORDER BY isrc IS NULL, created_at NULLS LAST, (CASE WHEN bpm IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN key IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN label IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN release_date IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN has_artwork THEN 1 ELSE 0 END + CASE WHEN has_preview THEN 1 ELSE 0 END) DESC, id) AS n FROM catalog WHERE deezer_id IS NOT NULL AND deezer_id <> 'NOT_FOUND') x GROUP BY 1"
+    "SELECT deezer_id, arg_min(id, n) AS id, arg_min(bpm, n) FILTER (WHERE bpm IS NOT NULL) AS bpm, arg_min(label, n) FILTER (WHERE label IS NOT NULL) AS label, arg_min(isrc, n) FILTER (WHERE isrc IS NOT NULL) AS isrc, bool_or(has_artwork) AS has_artwork, max(attempts) AS attempts, max(searched_at) AS searched_at, CASE WHEN bool_or(scope = 'shared') THEN 'shared' ELSE 'private' END AS scope, count(*) AS merged FROM (SELECT *, row_number() OVER (PARTITION BY deezer_id ORDER BY isrc IS NULL, created_at NULLS LAST, (CASE WHEN bpm IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN key IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN label IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN release_date IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN has_artwork THEN 1 ELSE 0 END + CASE WHEN has_preview THEN 1 ELSE 0 END) DESC, id) AS n FROM catalog WHERE deezer_id IS NOT NULL AND deezer_id <> 'NOT_FOUND') x GROUP BY 1",
+    text=("searched_at",),
 )
 def P05_merge_tracks(b: Bed) -> DataFrame:
     rows = b.catalog.filter("deezer_id is not null and deezer_id <> 'NOT_FOUND'")

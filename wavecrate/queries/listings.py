@@ -173,7 +173,7 @@ def E04_normalised_by_max(b: Bed) -> DataFrame:
     return b.playlists.crossJoin(F.broadcast(most)).select("id", F.round(F.col("followers") / F.nullif("most", F.lit(0.0)) * 10, 4).alias("share"))
 
 
-@query("SELECT task_type, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY task_type ORDER BY started_at DESC, id DESC) AS n FROM runs) x WHERE n = 1")
+@query("SELECT task_type, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY task_type ORDER BY started_at DESC, id DESC) AS n FROM runs) x WHERE n = 1", text=("started_at",))
 def E08_latest_run(b: Bed) -> DataFrame:
     return one_per(b.runs, ["task_type"], [F.desc("started_at"), F.desc("id")]).select("task_type", "id", "started_at")
 

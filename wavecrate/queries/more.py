@@ -86,7 +86,8 @@ def P34_new_links(b: Bed) -> DataFrame:
 
 
 @query(
-    "SELECT id, CASE WHEN r THEN 130.0 ELSE bpm END AS bpm, coalesce(label, CASE WHEN r THEN 'L' END) AS label, release_date, CASE WHEN r AND scope = 'private' THEN 'shared' ELSE scope END AS scope FROM (SELECT *, id % 3 = 0 AS r FROM catalog) c"
+    "SELECT id, CASE WHEN r THEN 130.0 ELSE bpm END AS bpm, coalesce(label, CASE WHEN r THEN 'L' END) AS label, release_date, CASE WHEN r AND scope = 'private' THEN 'shared' ELSE scope END AS scope FROM (SELECT *, id % 3 = 0 AS r FROM catalog) c",
+    text=("release_date",),
 )
 def P27_apply_record(b: Bed) -> DataFrame:
     catalog = b.catalog.withColumns({"bpm_source": F.lit(None).cast("string"), "key_source": F.lit("beatport")})
@@ -208,7 +209,7 @@ def V09_set_tracklists(b: Bed) -> DataFrame:
     return t.select("set_id", "position", "catalog_id", "title", F.coalesce("held", F.lit(False)).alias("in_lib"))
 
 
-@query("SELECT album_key AS album, count(*) AS tracks, min(release_date) AS released, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM catalog GROUP BY 1")
+@query("SELECT album_key AS album, count(*) AS tracks, min(release_date) AS released, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM catalog GROUP BY 1", text=("released",))
 def V11_albums(b: Bed) -> DataFrame:
     return b.catalog.groupBy(F.col("album_key").alias("album")).agg(F.count(F.lit(1)).alias("tracks"), F.min("release_date").alias("released"), F.sum("duration_ms").alias("duration_ms"))
 
@@ -270,12 +271,12 @@ def T11_tempo_quality(b: Bed) -> DataFrame:
     return E.tempo_quality(b.catalog.filter("bpm is not null").select(F.lit(128.0).alias("truth"), "bpm", F.lit(3.0).alias("confidence"))).select("raw", "octaves")
 
 
-@query("SELECT task_type, id, started_at, status FROM (SELECT *, row_number() OVER (ORDER BY started_at DESC, id DESC) AS n FROM runs WHERE status = 'error') x WHERE n <= 100")
+@query("SELECT task_type, id, started_at, status FROM (SELECT *, row_number() OVER (ORDER BY started_at DESC, id DESC) AS n FROM runs WHERE status = 'error') x WHERE n <= 100", text=("started_at",))
 def S07_run_logs(b: Bed) -> DataFrame:
     return b.runs.filter("status = 'error'").orderBy(F.desc("started_at"), F.desc("id")).limit(100).select("task_type", "id", "started_at", "status")
 
 
-@query("SELECT id, started_at FROM runs WHERE started_at >= (SELECT max(started_at) FROM runs) - INTERVAL 396 HOUR")
+@query("SELECT id, started_at FROM runs WHERE started_at >= (SELECT max(started_at) FROM runs) - INTERVAL 396 HOUR", text=("started_at",))
 def A17_retention(b: Bed) -> DataFrame:
     last = b.runs.agg(F.max("started_at").alias("last")).select(F.expr("last - INTERVAL '396' HOUR").alias("cut"))
     return b.runs.crossJoin(F.broadcast(last)).filter("started_at >= cut").select("id", "started_at")

@@ -88,7 +88,7 @@ _THROUGHPUT = """SELECT CAST(started_at AS DATE) AS day, task_type, source, coun
     FROM (SELECT *, CAST(json_extract(stats, '$.k') AS BIGINT) AS k FROM runs) r GROUP BY 1, 2, 3"""
 
 
-@query(_THROUGHPUT)
+@query(_THROUGHPUT, text=("day",))
 def S02_throughput(b: Bed) -> DataFrame:
     k = S.counter("stats", "k")
     out = S.throughput(b.runs, k, k % 7, F.lit(0))
@@ -107,12 +107,12 @@ def S06_snapshot(b: Bed) -> DataFrame:
     return S.snapshot(b.catalog, b.artists)
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2", text=("hour",))
 def Q01_hourly_counts(b: Bed) -> DataFrame:
     return throughput.hourly(b.events.withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", text=("day",))
 def Q02_daily_rollup(b: Bed) -> DataFrame:
     return throughput.daily(b.events.withColumn("ts", F.col("ts").cast("timestamp")))
 
@@ -124,7 +124,7 @@ def Q04_velocity(b: Bed) -> DataFrame:
     return activity.velocity(b.events)
 
 
-@query("SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY 1, 2")
+@query("SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY 1, 2", text=("first_ts",))
 def Q05_first_activity(b: Bed) -> DataFrame:
     return b.events.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"))
 
