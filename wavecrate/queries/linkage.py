@@ -271,13 +271,30 @@ def H08_track_titles(b: Bed) -> DataFrame:
     return b.catalog.select("id", X.track_title(F.col("title")).alias("plain"), X.normalized_key(F.col("title"), F.col("artist")).alias("key"))
 
 
-@query()
+@query(
+    """SELECT id, 'ampersand' AS rule, artist AS token, 'primary' AS role, 0 AS position FROM catalog WHERE label IS NOT NULL
+       UNION ALL SELECT id, 'ampersand', label, 'primary', 1 FROM catalog WHERE label IS NOT NULL
+       UNION ALL SELECT id, 'single', artist, 'primary', 0 FROM catalog WHERE label IS NULL"""
+)
 def J05_artist_parts(b: Bed) -> DataFrame:
     raw = b.catalog.select("id", F.concat_ws(" & ", "artist", "label").alias("raw"))
     return raw.select("id", X.artist_parts(F.col("raw")).alias("p")).select("id", "p.rule", F.inline("p.parts"))
 
 
-@query()
+@query(
+    """WITH ch AS (SELECT CAST(floor(id / 10) AS BIGINT) AS parent, id AS set_id FROM sets WHERE id % 10 < 3),
+    od AS (SELECT parent, set_id, row_number() OVER (PARTITION BY parent ORDER BY known DESC, set_id) AS child FROM (
+        SELECT ch.parent, ch.set_id, count(*) FILTER (WHERE NOT t.is_id) AS known FROM ch JOIN set_tracks t ON t.set_id = ch.set_id GROUP BY 1, 2) k),
+    tt AS (SELECT od.parent, od.set_id, od.child, t.catalog_id AS mtid, t.timecode_ms, t.position FROM od JOIN set_tracks t ON t.set_id = od.set_id),
+    ref AS (SELECT parent, mtid, arg_max(timecode_ms, position) AS at_ FROM tt WHERE child = 1 AND mtid IS NOT NULL GROUP BY 1, 2),
+    dl AS (SELECT tt.parent, tt.set_id, quantile_cont(tt.timecode_ms - ref.at_, 0.5) AS med, count(*) AS n FROM tt JOIN ref ON ref.parent = tt.parent AND ref.mtid = tt.mtid WHERE tt.child > 1 GROUP BY 1, 2),
+    adj AS (SELECT tt.parent, tt.mtid, tt.timecode_ms - CASE WHEN dl.n >= 3 THEN CAST(trunc(dl.med) AS INT) ELSE 0 END AS timecode_ms, tt.child * 1000000 + tt.position AS place_,
+                   min(tt.child * 1000000 + tt.position) OVER (PARTITION BY tt.parent, tt.mtid) AS first_ FROM tt LEFT JOIN dl ON dl.parent = tt.parent AND dl.set_id = tt.set_id),
+    pool AS (SELECT parent, mtid, timecode_ms, first_ AS arrived FROM (SELECT *, row_number() OVER (PARTITION BY parent, mtid ORDER BY timecode_ms IS NULL, place_) AS n FROM adj WHERE mtid IS NOT NULL) a WHERE n = 1
+             UNION ALL SELECT parent, mtid, timecode_ms, place_ FROM adj WHERE mtid IS NULL),
+    kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent, coalesce(mtid, -1) ORDER BY mtid IS NULL, arrived) AS n FROM pool) b WHERE n = 1)
+    SELECT parent, mtid, 'a' AS raw_artist, CAST(mtid AS VARCHAR) AS raw_title, timecode_ms, row_number() OVER (PARTITION BY parent ORDER BY timecode_ms NULLS LAST, mtid IS NULL, arrived) AS place FROM kept"""
+)
 def P21_merge_duplicates(b: Bed) -> DataFrame:
     children = b.sets.filter("id % 10 < 3").select(F.floor(F.col("id") / 10).alias("parent"), F.col("id").alias("set_id"))
     tracks = b.set_tracks.select("set_id", F.col("catalog_id").alias("mtid"), F.lit("a").alias("raw_artist"), F.col("catalog_id").cast("string").alias("raw_title"), "timecode_ms", "is_id", "position")
