@@ -164,7 +164,7 @@ WORDS = {"aa": ["tor", "mella", "sunt", "viro", "cana", "domus"], "bb": ["gruk",
 def labelled(spark):
     r = random.Random(6)
     data = [(i, " ".join(r.choice(WORDS[k]) + r.choice(["", "a", "u"]) for _ in range(r.randint(3, 40))), k) for i in range(400) for k in [r.choice("abc") * 2]]
-    data += [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !!", "cc"), (1003, "tor mella", None), (None, "gruk zlat", "bb"), (1004, "tor " * 20_000, "aa"), (1005, "x" * 100_000, None)]
+    data += [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !! ²½", "cc"), (1003, "tor mella", None), (None, "gruk zlat", "bb"), (1004, "tor " * 20_000, "aa"), (1005, "x" * 100_000, None)]
     return spark.createDataFrame(data, "doc_id long, text string, lang string")
 
 

@@ -43,7 +43,8 @@ NONE = "und"
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased; signs such as superscript digits may stand among letters but not alone."""
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
