@@ -32,7 +32,7 @@ SAMPLE = 800
 #: Labelled rows a language that the rejection bound is calibrated on, about.
 CALIBRATION = 300
 #: Words that a worker remembers, and the longest that it does.
-MEMORY, LONGEST = 200_000, 40
+MEMORY, LONGEST = 100_000, 24
 #: Rows that are filtered at once.
 SLICE = 500
 #: Characters scored at once.

@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -57,8 +58,7 @@ class Ids:
     LONG_BLANK = re.compile(r"\s{5000}")
 
     def __init__(self, path: str) -> None:
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", ())}
@@ -67,6 +67,12 @@ class Ids:
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def slow(self) -> Tokenizer:
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def __call__(self, text: str) -> np.ndarray:
         if self.LONG_BLANK.search(text):
             ids = self.slow.encode(text, add_special_tokens=False).ids
