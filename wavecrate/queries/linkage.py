@@ -176,7 +176,20 @@ def P04_canonical_pick(b: Bed) -> DataFrame:
     return L.pick_canonical(b.catalog.filter("deezer_id is not null and deezer_id <> 'NOT_FOUND'"), ["deezer_id"]).select("deezer_id", "id")
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE plain_ AS (SELECT deezer_id, id, isrc, trim(regexp_replace(regexp_replace(lower(trim(title)), '\s*[(\[]\s*original(?:\s+mix)?\s*[)\]]\s*$', ''), '\s+(?:featuring|feat|ft)\b\.?\s[^(\[]*$', '')) AS plain FROM catalog WHERE deezer_id <> 'NOT_FOUND'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY deezer_id ORDER BY id) AS k FROM plain_),
+    st AS (
+        SELECT deezer_id, CAST(1 AS BIGINT) AS k, [id] AS ids, [id] AS seeds FROM r WHERE k = 1
+        UNION ALL
+        SELECT st.deezer_id, r.k, list_append(st.ids, r.id), list_append(st.seeds, coalesce((
+            SELECT min(x.seed) FROM (
+                SELECT z.seed, bool_and(CASE WHEN r.isrc IS NOT NULL AND m.isrc IS NOT NULL THEN r.isrc = m.isrc ELSE r.plain = m.plain END) AS ok
+                FROM (SELECT unnest(st.ids) AS id, unnest(st.seeds) AS seed) z JOIN r m ON m.id = z.id GROUP BY z.seed) x WHERE x.ok), r.id))
+        FROM st JOIN r ON r.deezer_id = st.deezer_id AND r.k = st.k + 1
+    )
+    SELECT deezer_id, unnest(ids) AS id, unnest(seeds) AS cluster FROM (SELECT *, max(k) OVER (PARTITION BY deezer_id) AS last_ FROM st) e WHERE k = last_"""
+)
 def P03_cliques(b: Bed) -> DataFrame:
     return L.cliques(b.catalog.filter("deezer_id <> 'NOT_FOUND'"), "deezer_id")
 
