@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrate.llm.rows import numbered, row_key
@@ -50,6 +51,12 @@ def _dimensions(docs: DataFrame, id_col: str, dims: dict[str, Column] | None) ->
     return found
 
 
+def _local(spark: SparkSession, rows: list[tuple], kinds: dict[str, str]) -> DataFrame:
+    """A few rows of the driver's as a local relation, which needs no Python on the executors."""
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds)))
+
+
 def _level(meta: DataFrame, nodes: list[Node], names: list[str], spread: list[int]) -> None:
     """Find the split points of ``nodes``, which have the rows of ``meta`` with their first leaf as ``node``."""
     spark = meta.sparkSession
@@ -68,7 +75,7 @@ def _level(meta: DataFrame, nodes: list[Node], names: list[str], spread: list[in
     while open_nodes:
         steps = {x.first: max(1, -(-(x.hi - x.lo + 1) // BINS)) for x in open_nodes}
         rows = [(x.first, x.dim, x.phase == "tie", x.value, x.lo, x.hi, steps[x.first]) for x in open_nodes]
-        state = spark.createDataFrame(rows, "node int, dim int, tied boolean, value long, lo long, hi long, step long")
+        state = _local(spark, rows, {"node": "int32", "dim": "int32", "tied": "bool", "value": "int64", "lo": "int64", "hi": "int64", "step": "int64"})
         held = meta.join(F.broadcast(state), "node").withColumn("v", value)
         held = held.withColumn("x", F.when(F.col("tied"), F.when(F.col("v") == F.col("value"), F.col("tie"))).otherwise(F.col("v")))
         held = held.filter("x between lo and hi").withColumn("bin", F.expr("(x - lo) div step"))
@@ -132,7 +139,7 @@ def kd_shards(
     while level := [x for x in level if x.leaves > 1]:
         _level(tree, level, names, spread)
         rows = [(x.first, x.dim, x.value, x.cut, x.first + x.leaves // 2) for x in level if x.weight]
-        splits = docs.sparkSession.createDataFrame(rows, "node int, dim int, value long, cut long, right int")
+        splits = _local(docs.sparkSession, rows, {"node": "int32", "dim": "int32", "value": "int64", "cut": "int64", "right": "int32"})
         left = (value < F.col("value")) | ((value == F.col("value")) & (F.col("tie") <= F.col("cut")))
         tree = tree.join(F.broadcast(splits), "node", "left").withColumn("node", F.when(left | F.col("right").isNull(), F.col("node")).otherwise(F.col("right"))).drop("dim", "value", "cut", "right")
         level = [y for x in level for y in (Node(x.first, x.leaves // 2), Node(x.first + x.leaves // 2, x.leaves - x.leaves // 2))]
