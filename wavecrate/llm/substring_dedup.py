@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrate.llm.rows import row_key
-from wavecrate.llm.scratch import materialize
+from wavecrate.llm.scratch import materialize, small
 from wavecrate.shipping import ship
 
 #: Consecutive sentences in a span, at least.
@@ -142,5 +142,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = places.filter("id = first_id").withColumn("nth", F.dense_rank().over(order)).filter("nth > 1").select("row_key", "first", "length")
     covers = later.union(again).groupBy("row_key").agg(F.collect_list(F.struct("first", "length")).alias("covers"))
     covers = materialize(covers, "covered")
-    touched = rows.join(covers, "row_key")
+    # Where their keys are few enough, only the texts that lose something are shuffled.
+    keys = materialize(covers.select("row_key"), "covered-keys")
+    held = rows.join(F.broadcast(keys), "row_key", "left_semi") if small(keys) else rows
+    touched = held.join(covers, "row_key")
     return touched.select("doc_id", "row_key", "text", "covers").mapInArrow(_cleaned, "doc_id long, row_key long, text string, n_removed long, removed string")
