@@ -114,6 +114,7 @@ def links(prints: DataFrame, bits: int = 2, m: int | None = None, bucket: int =
 
     ``prints`` has one column fp, each value once. Every pair returned is a true
     link; pairs implied through a third member of a large bucket may be left out.
+    Beyond 2 bits all members of a bucket are paired, so its cost grows with its square.
     """
     m = m or bits + 1
     if m <= bits:
@@ -121,11 +122,14 @@ def links(prints: DataFrame, bits: int = 2, m: int | None = None, bucket: int =
     keyed = prints.select("fp", F.posexplode(F.array(*ring_keys(F.col("fp"), m))).alias("k", "key"))
     sizes = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(keyed.join(sizes, ["k", "key"]), "ring-keys")
-    few = shared.filter(F.col("n") <= bucket).select("k", "key", "fp")
+    # Members of large buckets meet in another way, which is known for up to 2 bits; beyond, all are paired.
+    few = (shared if bits > 2 else shared.filter(F.col("n") <= bucket)).select("k", "key", "fp")
     other = few.withColumnRenamed("fp", "fp2")
     diff = F.col("fp").bitwiseXOR(F.col("fp2"))
     ring = within_ring(diff, (F.col("k") / 2).cast("int"), m, bits)
     pairs = few.join(other, ["k", "key"]).filter((F.col("fp") < F.col("fp2")) & ring & (F.bit_count(diff) <= bits)).select("fp", "fp2")
+    if bits > 2:
+        return pairs.distinct().toDF("a", "b")
     crowd = shared.filter(F.col("n") > bucket).select("fp").distinct()
     return pairs.union(_neighbours(crowd, bits)).distinct().toDF("a", "b")
 
