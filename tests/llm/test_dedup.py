@@ -169,3 +169,28 @@ def test_removed_spans_are_what_went():
     text = "One here now. Two\nthree, four! Five."
     left, gone = substring_dedup.remove(text, {1, 3})
     assert left == "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b in gone)) and "Two" not in left and "Five" not in left
+
+
+def test_passages_amid_long_sentences(spark):
+    """A passage stands mid-sentence at different offsets; of later copies all but a piece at each edge goes."""
+    r = random.Random(12)
+    passage = [f"p{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(24):
+        lead, tail = ([f"u{k}x{r.randrange(10**6)}" for _ in range(n)] for n in (3 + k, 5 + k % 7))
+        rows.append((k, " ".join(["Start", *lead, *passage, *tail]) + "."))
+    got = {x["doc_id"]: x["text"].split() for x in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(range(1, 24))
+    assert all(sum(w in passage for w in got[k]) <= 30 and sum(w.startswith("u") for w in got[k]) >= k for k in got)
+
+
+def test_spans_reach_every_sentence_end():
+    parts = substring_dedup.sentences(" ".join(f"One two three four five six seven eight nine {i}." for i in range(7)) + " End of it.")
+    assert {a + n for a, n, _ in substring_dedup.spans(parts, 2, 20)} >= set(range(2, len(parts) + 1))
+
+
+def test_long_sentences_lose_no_word():
+    r = random.Random(2)
+    for words in (["same"] * 500, [r.choice("abcde") for _ in range(300)], [str(r.random()) for _ in range(300)]):
+        parts = substring_dedup.sentences(" ".join(words))
+        assert " ".join(p[2] for p in parts) == " ".join(words) and max(p[3] for p in parts) <= substring_dedup.CAP

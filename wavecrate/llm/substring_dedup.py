@@ -1,10 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
 A span starts at every sentence and runs over consecutive sentences until it has
-at least ``RUN`` of them and ``MIN_WORDS`` words. Spans are hashed and counted over
+at least ``RUN`` of them and ``MIN_WORDS`` words; another ends at every sentence
+and starts as late as it can. Long sentences are cut where a word's hash is the
+least around it, so a passage is cut alike whatever stands before it. Spans are hashed and counted over
 all documents; of the places of one span the first (lowest id, then position)
-stays and the sentences of every other place are removed. Where a span ends
-depends on what it holds alone, so copies of a passage give the same spans
+stays and the sentences of every other place are removed. Where a span starts and
+ends depends on what it holds alone, so copies of a passage give the same spans
 wherever they stand.
 """
 
@@ -27,14 +29,28 @@ from wavecrate.shipping import ship
 RUN = 2
 #: Words in a span, at least.
 MIN_WORDS = 20
-#: A sentence of more words counts as several, cut after a comma, semicolon or colon past half of this, else here.
+#: A sentence of more words counts as several.
 LONG = 16
+#: It is cut after words whose hash is the least of so many words on either side, and after ``CAP`` words without such a one.
+AROUND, CAP = 4, 64
 SENTENCE = re.compile(r"\s*(\S.*?(?:[.!?]+(?=\s|\Z)|(?=\n)|\Z))", re.DOTALL)
 WORD = re.compile(r"\S+")
 #: Null ids come after all others (below this), each text in a place of its own.
 LAST = 1 << 62
 
 
+def cuts(parts: list[str]) -> list[int]:
+    """Numbers of words after which a long sentence is cut, its end included."""
+    h = [xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in parts]
+    n, out, last = len(h), [], 0
+    for i in range(n - 1):
+        x = h[i]
+        if i + 1 - last >= CAP or (x <= h[i + 1] and x == min(h[max(0, i - AROUND) : i + AROUND + 1]) and x not in h[max(0, i - AROUND) : i]):
+            last = i + 1
+            out.append(last)
+    return [*out, n]
+
+
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, words joined by spaces, number of words) of each sentence."""
     out = []
@@ -44,31 +60,37 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
         if len(parts) <= LONG:
             out.append((a, b, " ".join(parts), len(parts)))
             continue
-        held: list[re.Match] = []
-        for w in WORD.finditer(text, a, b):
-            held.append(w)
-            if len(held) == LONG or (len(held) > LONG // 2 and w[0][-1] in ",;:"):
-                out.append((held[0].start(), w.end(), " ".join(x[0] for x in held), len(held)))
-                held = []
-        if held:
-            out.append((held[0].start(), held[-1].end(), " ".join(x[0] for x in held), len(held)))
+        held = list(WORD.finditer(text, a, b))
+        begin = 0
+        for end in cuts(parts):
+            out.append((held[begin].start(), held[end - 1].end(), " ".join(parts[begin:end]), end - begin))
+            begin = end
     return out
 
 
 def spans(parts: list[tuple[int, int, str, int]], run: int, min_words: int) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, number of sentences, hash) of every span."""
-    words, last = 0, 0
+    """(first sentence, number of sentences, hash) of every span: the shortest from each sentence on and the shortest up to each."""
+    before = [0]
+    for p in parts:
+        before.append(before[-1] + p[3])
+    places, last = {}, 0
     for first in range(len(parts)):
-        last = max(last, first)
-        while last < len(parts) and (last - first < run or words < min_words):
-            words += parts[last][3]
+        while last < len(parts) and (last - first < run or before[last] - before[first] < min_words):
             last += 1
-        if last - first < run or words < min_words:
-            return
+        if last - first < run or before[last] - before[first] < min_words:
+            break
+        places[first, last] = None
+    first = 0
+    for last in range(run, len(parts) + 1):
+        if before[last] - before[first] < min_words:
+            continue
+        while last - first - 1 >= run and before[last] - before[first + 1] >= min_words:
+            first += 1
+        places[first, last] = None
+    for first, last in places:
         # Numbers of words keep spans apart that differ only in where sentences end.
         text = "\n".join(p[2] for p in parts[first:last])
         yield first, last - first, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-        words -= parts[first][3]
 
 
 def _spans(run: int, min_words: int):
