@@ -214,6 +214,25 @@ def test_model_is_a_distribution():
     assert total == pytest.approx(np.ones(3), abs=0.12)
 
 
+def test_bounds_come_from_unseen_rows(spark):
+    """Unseen clean documents of a rare language pass, a foreign one doesn't, and other languages' sizes change nothing."""
+    r = random.Random(9)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop"}
+
+    def text(k):
+        return " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(4, 9))) for _ in range(r.randint(8, 30)))
+
+    data = [(i, text("aa"), "aa") for i in range(60)] + [(1000 + i, text("bb"), "bb") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    fresh = spark.createDataFrame([(5000 + i, text("aa"), None) for i in range(200)] + [(6000, "qrstu vwxyz " * 20, None)], "doc_id long, text string, lang string")
+    small = langid.train(df, sample=400, calibration=100)
+    big = langid.train(df, sample=60, calibration=40)  # now only aa is rare
+    for model in (small, big):
+        out = {x["doc_id"]: x["rejected"] for x in langid.identify(fresh, model=model).collect()}
+        assert out.pop(6000) and not any(out.values())
+    assert small.bounds["aa"] == pytest.approx(big.bounds["aa"], abs=0.6) and small.bounds["bb"] == pytest.approx(big.bounds["bb"], abs=0.6)
+
+
 # --- pipeline -------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ ends. Of each order the n-grams of all languages lie in one sorted array of
 it, so a lookup serves every language at once; an n-gram that no language has
 seen backs off by its context's weight. A text takes the language of the lowest
 cross-entropy per character, and is rejected beyond a bound calibrated per
-language on labelled texts that the counts didn't see.
+language on labelled texts that the counts didn't see, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ ORDER = 5
 SAMPLE = 800
 #: Labelled rows a language that the rejection bound is calibrated on, about.
 CALIBRATION = 300
+#: Parts of a language's rows that are left out in turn where it has too few for rows of their own.
+FOLDS = 3
+#: The bound lies so many times the upper half's spread (ninth decile less median) beyond the median, and SLACK at least.
+SPREAD, SLACK = 8, 2.0
 #: Words that a worker remembers, and the longest that it does.
 MEMORY, LONGEST = 100_000, 24
 #: Rows that are filtered at once.
@@ -265,14 +269,14 @@ def _predicted(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}
+    counts: dict[tuple[str, int], Counter] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1)):
-            counts.setdefault(lang.as_py(), Counter()).update(words(text.as_py()))
-    rows = [(lang, w, c) for lang, words_ in counts.items() for w, c in words_.items()]
+        for lang, fold, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+            counts.setdefault((lang.as_py(), fold.as_py()), Counter()).update(words(text.as_py()))
+    rows = [(lang, fold, w, c) for (lang, fold), words_ in counts.items() for w, c in words_.items()]
     if rows:
-        langs, items, n = zip(*rows)
-        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(items, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+        langs, folds, items, n = zip(*rows)
+        yield pa.record_batch([pa.array(langs, pa.string()), pa.array(folds, pa.int32()), pa.array(items, pa.string()), pa.array(n, pa.int64())], names=["lang", "fold", "word", "n"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, calibration: int = CALIBRATION) -> Model:
@@ -288,19 +292,40 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rates = docs.sparkSession.createDataFrame([(k, int(span * sample / n), int(span * (sample + calibration) / n)) for k, n in sizes.items()], "lang string, fit long, hold long")
     drawn = docs.filter(usable).select(ident.cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
     drawn = materialize(drawn.join(F.broadcast(rates), "lang").filter("draw < hold"), "langid-sample")
-    rows = drawn.filter("draw < fit").select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
-    counts: dict[str, Counter] = {}
-    table = rows.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    for lang, word, n in zip(table["lang"].to_pylist(), table["word"].to_pylist(), table["n"].to_pylist()):
-        counts.setdefault(lang, Counter())[word] = n
-    if not counts:
+    # Languages with rows enough are calibrated on rows of their own, the others on the folds that a model has not seen.
+    rare = [k for k, n in sizes.items() if n < sample + calibration]
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    drawn = drawn.withColumn("fold", F.when(F.col("lang").isin(rare), fold).otherwise(-1))
+    rows = drawn.filter((F.col("draw") < F.col("fit")) | (F.col("fold") >= 0)).select("lang", "fold", "text").mapInArrow(_word_counts, "lang string, fold int, word string, n long")
+    table = rows.groupBy("lang", "fold", "word").agg(F.sum("n").alias("n")).toArrow()
+    folds: dict[tuple[str, int], Counter] = {}
+    for lang, k, word, n in zip(*(table[c].to_pylist() for c in ("lang", "fold", "word", "n"))):
+        folds.setdefault((lang, k), Counter())[word] = n
+
+    def without(left_out: int | None) -> dict[str, Counter]:
+        counts: dict[str, Counter] = {}
+        for (lang, k), c in folds.items():
+            if k != left_out:
+                counts.setdefault(lang, Counter()).update(c)
+        return counts
+
+    if not folds:
         return Model([], ORDER)
-    model = fit(counts)
-    fresh = drawn.filter("draw >= fit") if min(sizes.values()) > 2 * sample else drawn  # small tables calibrate on what they have
-    scored = _predicted(fresh.select("doc_id", F.lit(0).cast("long").alias("row_key"), "text"), model)
-    for r in scored.filter("entropy is not null").groupBy("lang_pred").agg(F.expr("percentile(entropy, array(0.5, 0.995))").alias("q")).collect():
+    model = fit(without(None))
+    unseen = []
+    if len(rare) < len(sizes):
+        unseen.append((model, drawn.filter("fold < 0 and draw >= fit")))
+    for k in range(FOLDS) if rare else ():
+        if counts := without(k):
+            unseen.append((fit(counts), drawn.filter(F.col("fold") == k)))
+    scored = None
+    for other, part in unseen:
+        found = _predicted(part.select("doc_id", F.lit(0).cast("long").alias("row_key"), "text"), other).filter("entropy is not null").select("lang_pred", "entropy")
+        found = materialize(found, "langid-calibration")  # a worker holds one model at a time
+        scored = found if scored is None else scored.union(found)
+    for r in scored.groupBy("lang_pred").agg(F.expr("percentile(entropy, array(0.5, 0.9))").alias("q")).collect():
         middle, high = r["q"]
-        model.bounds[r["lang_pred"]] = high + max(1.0, 3 * (high - middle))  # far beyond what labelled texts reach
+        model.bounds[r["lang_pred"]] = middle + max(SLACK, SPREAD * (high - middle))  # far beyond what labelled texts reach
     return model
 
 
