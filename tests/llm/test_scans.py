@@ -196,3 +196,29 @@ def test_spaced_seeds_meet_replaced_words(n):
     ones = [[i for i, c in enumerate(m) if c == "1"] for m in decontam.MASKS]
     for bad in itertools.combinations(range(n), n // 5):
         assert any(all(p + i not in bad for i in m) for m in ones for p in range(n - m[-1]))
+
+
+def test_leaks_by_any_window(spark):
+    """Against the rule itself: any aligned window of 13 tokens, or the whole item, that agrees in 0.8 or more."""
+    r = random.Random(4)
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in (1, 2, 4, 5, 6, 8, 10, 12, 13, 15, 16, 30)]
+    docs_ = []
+    for n, q in items:
+        for bad in range(0, n // 4 + 2):
+            for _ in range(4):
+                w = [f"z{len(docs_)}" if k in r.sample(range(n), bad) else t for k, t in enumerate(q)] if bad < n else []
+                docs_.append((len(docs_), ["lead"] * r.randrange(4) + w + ["tail"] * r.randrange(3)))
+    for n, place in ((16, 3), (15, 2), (13, 0), (13, 12), (12, 11), (12, 0), (10, 2)):
+        q = dict(items)[n]
+        docs_.append((len(docs_), ["x", *q[:place], "changed", *q[place + 1 :], "y"]))
+    want = set()
+    for d, w in docs_:
+        for n, q in items:
+            for at in range(-n + 1, len(w)):
+                lo, hi, least = max(0, -at), min(n, len(w) - at), min(13, n)
+                if any(5 * sum(w[at + k] == q[k] for k in range(i, j)) >= 4 * (j - i) for i in range(lo, hi) for j in range(i + least, hi + 1)):
+                    want.add((d, n))
+    assert len(want) > 60
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs_], "doc_id long, text string")
+    got = decontam.contaminated(df, spark.createDataFrame([(n, " ".join(q)) for n, q in items], "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want

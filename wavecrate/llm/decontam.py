@@ -4,8 +4,10 @@ A seed mask slides over the tokens of test and training texts and hashes those a
 its ones; positions at its zeros may differ, so a passage with replaced words
 still meets its source. Equal hashes are joined, each hit names a diagonal (an
 ungapped alignment of item and document), and the tokens along it are compared:
-a document is contaminated by an item if a stretch of the alignment of at least
+a document is contaminated by an item if any stretch of the alignment of at least
 ``MIN_OVERLAP`` tokens, or the whole item if it is shorter, agrees in 0.8 or more.
+Shorter items are cut into one run more than tokens of them may differ, so one run
+is equal in both; runs are hashed as masks of ones.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from wavecrate.llm.scratch import materialize, small
 #: Ones are compared, zeros ignored. In 13 tokens or more, one replaced in five leaves a window that one of the two fits, wherever they are.
 MASKS = ("111101", "110111")
 MIN_OVERLAP = 13
-#: One mismatch weighs as much as this many matches: stretches agree in 4 of 5 at least.
-PENALTY = 4
+#: Stretches agree in 4 of 5 at least.
+AGREE = (4, 5)
 #: Windows taken from an array at once; bounds the memory that a very long text takes.
 CHUNK = 2048
 
@@ -48,24 +50,41 @@ def seeds(rows: DataFrame, key: list[str], masks: tuple[str, ...] = MASKS) -> Da
     return each.filter("s is not null").select(*key, "pos", "s.seed", "s.hash")
 
 
-def stretch(same: Column) -> Column:
-    """(length, matched) of the longest stretch found in an array of booleans with four matches or more to a mismatch."""
-    zero = F.struct(*[F.lit(0).alias(c) for c in ("score", "n", "m", "length", "matched")])
+def run_length(size: Column) -> Column:
+    """Tokens in each of the runs that an item of ``size`` tokens is cut into: one run more than tokens may differ."""
+    p, q = AGREE
+    return F.floor(size / (F.floor(size * (q - p) / q) + 1)).cast("int")
 
-    def step(a: Column, hit: Column) -> Column:
-        score = a["score"] + F.when(hit, 1).otherwise(-PENALTY)
-        on = score >= 0
-        n, m = F.when(on, a["n"] + 1).otherwise(0), F.when(on, a["m"] + hit.cast("int")).otherwise(0)
-        better = hit & on & (n > a["length"])
-        return F.struct(
-            F.when(on, score).otherwise(0).alias("score"),
-            n.alias("n"),
-            m.alias("m"),
-            F.when(better, n).otherwise(a["length"]).alias("length"),
-            F.when(better, m).otherwise(a["matched"]).alias("matched"),
-        )
 
-    return F.aggregate(same, zero, step, lambda a: F.struct(a["length"].alias("length"), a["matched"].alias("matched")))
+def reaches(same: Column, least: Column) -> Column:
+    """Whether a stretch of ``least`` or more of an array of booleans agrees in 0.8 or more; one pass."""
+    p, q = AGREE
+    steps = F.transform(same, lambda hit: F.when(hit, q - p).otherwise(-p))
+    # Beside each step, the step ``least`` places before it, which is where the shortest stretch that ends here begins.
+    late = F.concat(F.array_repeat(F.lit(None).cast("int"), least), steps)
+    pairs = F.zip_with(steps, F.slice(late, 1, F.size(steps)), lambda a, b: F.struct(a.alias("now"), b.alias("late")))
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("n", "sum", "before", "low")], F.lit(False).alias("found"))
+
+    def step(a: Column, x: Column) -> Column:
+        n, total, before = a["n"] + 1, a["sum"] + x["now"], a["before"] + F.coalesce(x["late"], F.lit(0))
+        low = F.least(a["low"], before)
+        return F.struct(n.alias("n"), total.alias("sum"), before.alias("before"), low.alias("low"), (a["found"] | ((n >= least) & (total >= low))).alias("found"))
+
+    return F.aggregate(pairs, zero, step, lambda a: a["found"])
+
+
+def stretch(same: Column, least: Column) -> Column:
+    """(length, matched) of the longest stretch of ``least`` or more that agrees in 0.8 or more, of those the best; null if there is none."""
+    p, q = AGREE
+    sums = F.aggregate(same, F.array(F.lit(0)), lambda a, hit: F.concat(a, F.array(F.element_at(a, -1) + hit.cast("int"))))
+
+    def ends(i: Column) -> Column:
+        held = lambda j: F.element_at(sums, j + 1) - F.element_at(sums, i + 1)
+        good = F.filter(F.sequence(i + least, F.size(same)), lambda j: held(j) * q >= (j - i) * p)
+        j = F.array_max(good)
+        return F.when(j.isNotNull(), F.struct((j - i).alias("length"), held(j).alias("matched")))
+
+    return F.when(F.size(same) >= least, F.array_max(F.transform(F.sequence(F.lit(0), F.size(same) - least), ends)))
 
 
 def contaminated(
@@ -83,15 +102,23 @@ def contaminated(
     overlap and matched: tokens of the best stretch and how many agree; at: the
     document's token where the alignment puts the item's first (negative if it is
     cut off); contaminated: always true. Clean documents have no row. Null and
-    empty texts on either side have no tokens and match nothing, as do items
-    shorter than the shortest mask. Repeated rows are reported once; of ties the
+    empty texts on either side have no tokens and match nothing. Repeated rows are reported once; of ties the
     alignment that comes first is named. An empty table on either side gives an
     empty result. Only the named columns are read. A benchmark beyond the broadcast
     bound is joined by shuffling.
     """
     named = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("words"))
     items = materialize(named.select("item_id", F.xxhash64("words").alias("item_key"), "words").filter("size(words) > 0").distinct(), "benchmark-items")
-    wanted = materialize(seeds(items, ["item_key"], masks).select("seed", "hash", "item_key", F.col("pos").alias("q")).distinct(), "benchmark-seeds")
+    size = F.size("words")
+    brief = items.filter(size < min_overlap)
+    runs = sorted(r[0] for r in brief.select(run_length(size)).distinct().collect())
+    first_run = len(masks)
+    masks = (*masks, *("1" * n for n in runs))
+    item_seeds = seeds(items.filter(size >= min_overlap), ["item_key"], masks).filter(F.col("seed") < first_run)
+    if runs:
+        lengths = brief.select("item_key", (F.array_position(F.array(*map(F.lit, runs)), run_length(size)) - 1 + first_run).alias("own")).distinct()
+        item_seeds = item_seeds.union(seeds(brief, ["item_key"], masks).join(lengths, "item_key").filter("seed = own").drop("own"))
+    wanted = materialize(item_seeds.select("seed", "hash", "item_key", F.col("pos").alias("q")).distinct(), "benchmark-seeds")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     words = rows.select("row_key", tokens(F.col("text")).alias("words")).filter("size(words) > 0")
     probe = F.broadcast(wanted) if small(wanted) else wanted
@@ -105,8 +132,10 @@ def contaminated(
     first = F.greatest(F.lit(0), -F.col("at"))
     count = F.least(F.size("item"), F.size("words") - F.col("at")) - first
     pairs = F.zip_with(F.slice("words", F.col("at") + first + 1, count), F.slice("item", first + 1, count), lambda a, b: a == b)
-    scored = aligned.filter(count > 0).select("doc_id", "row_key", "item_id", "at", F.size("item").alias("size"), stretch(pairs).alias("s"))
-    scored = scored.filter(F.col("s.length") >= F.least(F.lit(min_overlap), F.col("size")))
+    least = F.least(F.lit(min_overlap), F.size("item"))
+    compared = aligned.filter(count >= least).select("doc_id", "row_key", "item_id", "at", least.alias("least"), pairs.alias("same"))
+    held = materialize(compared.filter(reaches(F.col("same"), F.col("least"))), "leaks")
+    scored = held.select("doc_id", "row_key", "item_id", "at", stretch(F.col("same"), F.col("least")).alias("s"))
     best = scored.groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("s.length", "s.matched", (-F.col("at")).alias("minus"))).alias("b"))
     return best.select(
         "doc_id",
