@@ -4,16 +4,23 @@ Every page's containers are scored by the prose in them. A page votes for the
 generalised path (tags with classes, digits folded) of its best container; votes
 are added up per host in Spark, and pages are read again with their host's
 winning path. A page that lacks it keeps its own best container.
+
+Menus, footers, scripts and the like are no article's whatever they hold. An
+element whose class, id or role merely reads like a sidebar, advert or comment
+list is judged by what it holds, when the page has been read: it stays if the
+article is in it. Reading takes time and memory in proportion to the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,71 +37,150 @@ CONTAINERS = frozenset("article main section div td body blockquote center".spli
 #: Opening one of these ends an open element of the right-hand kinds, up to the barrier.
 ENDS = {t: ({"p"}, {"button", "table", "td", "th"}) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 ENDS |= {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Never part of an article.
-DROPPED = frozenset("head nav footer aside form script style button select object svg math canvas audio video menu dialog map datalist".split()) | frozenset(RAW)
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+#: Never part of an article, whatever they hold.
+DROPPED = frozenset("head nav footer aside script style button select label legend object svg math canvas audio video menu dialog map datalist".split()) | frozenset(RAW)
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 DROPPED_WORDS = frozenset(
-    "nav navbar navigation menu footer sidebar aside ad ads advert advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr "
+    "nav navbar navigation menu header footer sidebar aside ad ads advert advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe signup comment comments disqus reply replies respond discussion share sharing social related recommended "
     "breadcrumb breadcrumbs pagination pager toolbar masthead login searchform".split()
 )
+#: Of these, compound names are as telling as the word alone.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+#: Names that begin or end so tell what a page has or lacks, not what an element is.
+STATES = frozenset("has no not with without is show hide hides enable enabled disable disabled free open closed off".split())
 GOOD_WORDS = frozenset("article post entry story content main body text".split())
 NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 DIGITS = re.compile(r"\d+")
+#: What a container passes on of its score to the one around it.
+PASSED_ON = 0.75
+#: How surely an element is no part of the article: by a compound name or for hiding, or by its plain name or role.
+WEAK, STRONG = 1, 2
 
 
-@dataclass
+@dataclass(slots=True)
 class Box:
-    """A container: its path, what its own paragraphs score, and where its blocks are."""
+    """A container: its path, the container around it, what its prose scores, and where its blocks are."""
 
     path: str
     good: float
+    parent: int
     score: float = 0.0
     first: int = 0
     last: int = -1
 
 
-@dataclass
+@dataclass(slots=True)
+class Part:
+    """An article or a doubtful element: the part around it, and the prose in it."""
+
+    parent: int
+    doubt: int
+    article: bool
+    prose: int = 0
+    #: Prose of the largest article in it that is not doubtful itself.
+    best: int = 0
+
+
+@dataclass(slots=True)
 class Page:
     blocks: list[str] = field(default_factory=list)
+    #: By block: prose (code points outside links), container, part.
+    prose: list[int] = field(default_factory=list)
+    box_of: list[int] = field(default_factory=list)
+    part_of: list[int] = field(default_factory=list)
     boxes: list[Box] = field(default_factory=list)
+    parts: list[Part] = field(default_factory=list)
+    kept: list[bool] = field(default_factory=list)
+
+    def judge(self) -> None:
+        """Decide which doubtful elements stay, then score the containers."""
+        parts = self.parts
+        for n, i in zip(self.prose, self.part_of):
+            parts[i].prose += n
+        own = [x.prose for x in parts]
+        for i in range(len(parts) - 1, 0, -1):  # parts come before what they hold
+            x, up = parts[i], parts[parts[i].parent]
+            up.prose += x.prose
+            up.best = max(up.best, x.best, x.prose if x.article and not x.doubt else 0)
+        gone = [x.doubt == STRONG and 2 * x.best <= parts[0].prose for x in parts]
+        # Against what is left, those less surely doubtful.
+        left, articles = own, [0] * len(parts)
+        for i in range(len(parts) - 1, 0, -1):
+            if not gone[i]:
+                x = parts[i]
+                left[x.parent] += left[i]
+                articles[x.parent] += left[i] if x.article and not x.doubt else articles[i]
+        scope = [0] * len(parts)
+        for i, x in enumerate(parts[1:], 1):
+            around = scope[x.parent]
+            scope[i] = i if x.article else around
+            if x.doubt == WEAK:
+                gone[i] = 2 * left[i] <= left[around] or (around == 0 and articles[0] > articles[i])
+            gone[i] |= gone[x.parent]
+        self.kept = [not gone[i] for i in self.part_of]
+        for n, i, kept in zip(self.prose, self.box_of, self.kept):
+            if kept:
+                self.boxes[i].score += n
+        for b in reversed(self.boxes[1:]):
+            self.boxes[b.parent].score += PASSED_ON * b.score
 
     def best(self) -> Box | None:
         return max(self.boxes, key=lambda b: (b.score * b.good, -b.first), default=None)
 
+    def held(self, box: Box) -> list[str]:
+        return [self.blocks[i] for i in range(box.first, box.last) if self.kept[i]]
+
     def text(self, path: str | None) -> str:
         """The text of the containers on ``path``, or of the best container if they have none."""
         own, end = [], 0
         for b in self.boxes:
             if b.path == path and b.first >= end:
-                own += self.blocks[b.first : b.last]
+                own += self.held(b)
                 end = b.last
         if not own and (b := self.best()):
-            own = self.blocks[b.first : b.last]
+            own = self.held(b)
         return " ".join(own)
 
 
-def _attributes(raw: str) -> tuple[list[str], str, bool]:
-    """Classes, words of class, id and role checks, and whether the element is dropped."""
+def _names(name: str) -> tuple[int, bool]:
+    """How doubtful a class or id makes an element, and whether it sounds like an article."""
+    words = [w.lower() for w in NAME.findall(name)]
+    good = any(w in GOOD_WORDS for w in words)
+    if not words or words[0] in STATES or words[-1] in STATES:
+        return 0, good
+    telling = [w for w in words if w in DROPPED_WORDS]
+    if not telling or (good and len(words) > 1 and telling == ["header"]):  # an article's own header
+        return 0, good
+    return (STRONG if len(words) == 1 or any(w in COMMENT_WORDS for w in telling) else WEAK), good
+
+
+def _attributes(raw: str) -> tuple[list[str], int, bool]:
+    """Classes, how doubtful the element is, and whether it sounds like an article."""
     if not raw.strip(" /\n\t"):
-        return [], "", False
+        return [], 0, False
     found = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(raw)}
-    hidden = "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
+    doubt, good = 0, False
+    if "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")):
+        doubt = WEAK
     if DROPPED_ROLES & set(found.get("role", "").lower().split()):
-        hidden = True
-    return found.get("class", "").split(), found.get("id", ""), hidden
+        doubt = STRONG
+    classes = found.get("class", "").split()
+    for name in (*classes, found.get("id", "")):
+        d, g = _names(name)
+        doubt, good = max(doubt, d), good or g
+    return classes, doubt, good
 
 
 def parse(source: str | None) -> Page:
     """Blocks of text that may be an article's, and the containers that hold them."""
-    page = Page()
+    page = Page(boxes=[Box("", 1.0, 0)], parts=[Part(0, 0, False)])
     if not source:
         return page
-    blocks, part = page.blocks, []
-    root = Box("", 1.0)
-    page.boxes.append(root)
-    # An open element: tag, path, box, dropped, heading-only, in an article, in a heading.
-    stack = [("", "", root, False, False, False, False)]
+    part: list[str] = []
+    # An open element: tag, path, box, part, dropped, headings only, in an article, in a heading.
+    stack = [("", "", 0, 0, False, False, False, False)]
+    opened: Counter[str] = Counter()
     linked = 0
 
     def flush() -> None:
@@ -102,22 +188,19 @@ def parse(source: str | None) -> Page:
         if part:
             block = " ".join("".join(part).split())
             if block:
-                blocks.append(block)
-                prose = max(0, len(block) - linked)
-                weight = 1.0
-                seen: set[int] = set()
-                for e in reversed(stack):
-                    if id(e[2]) not in seen:  # the paragraph's container takes all, its parents half of what is below
-                        seen.add(id(e[2]))
-                        e[2].score += prose * weight
-                        weight /= 2
+                top = stack[-1]
+                page.blocks.append(block)
+                page.prose.append(max(0, len(block) - linked))
+                page.box_of.append(top[2])
+                page.part_of.append(top[3])
             part, linked = [], 0
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            box = stack.pop()[2]
-            if box is not stack[-1][2]:
-                box.last = len(blocks)
+            gone = stack.pop()
+            opened[gone[0]] -= 1
+            if gone[2] != stack[-1][2]:
+                page.boxes[gone[2]].last = len(page.blocks)
 
     at, n = 0, len(source)
     while at < n:
@@ -125,11 +208,11 @@ def parse(source: str | None) -> Page:
         stop = m.start() if m else n
         if stop > at:
             top = stack[-1]
-            if not top[3] and (not top[4] or top[6]):
+            if not top[4] and (not top[5] or top[7]):
                 raw = source[at:stop]
                 text = html.unescape(raw) if "&" in raw else raw
                 part.append(text)
-                if any(e[0] == "a" for e in stack):
+                if opened["a"]:
                     linked += len(text.strip())
         if not m:
             break
@@ -140,46 +223,56 @@ def parse(source: str | None) -> Page:
         if tag not in INLINE:
             flush()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
+            if opened[tag]:
+                if stack[-1][0] not in INLINE:
+                    flush()
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth][0] == tag:
+                        close(depth)
+                        break
             continue
         if tag in ENDS:
             kinds, barrier = ENDS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in kinds:
-                    close(depth)
-                    break
-                if stack[depth][0] in barrier or stack[depth][0] in CONTAINERS and "p" in kinds:
-                    break
+            if any(opened[k] for k in kinds):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth][0] in kinds:
+                        close(depth)
+                        break
+                    if stack[depth][0] in barrier or stack[depth][0] in CONTAINERS and "p" in kinds:
+                        break
         if tag in VOID:
             continue
-        _, path, box, dropped, headings, inside, heading = stack[-1]
+        _, path, box, around, dropped, headings, inside, heading = stack[-1]
         if tag in RAW:
             end = RAW[tag].search(source, at)
             at = end.end() if end else n
             continue
-        classes, ident, hidden = _attributes(m[3])
-        here = set()
-        if classes or ident:
-            here = {w.lower() for name in (*classes, ident) for w in NAME.findall(name)}
-        whole = tag in ("html", "body", "article", "main")
-        if tag in DROPPED or hidden or (not whole and (DROPPED_WORDS & here or "header" in here and not inside)):
+        classes, doubt, good = _attributes(m[3])
+        article = tag in ("article", "main")
+        if tag in ("html", "body"):
+            doubt = 0
+        elif tag == "form":
+            doubt = max(doubt, WEAK)
+        if tag in DROPPED or (doubt and tag in INLINE):
             dropped = True
         elif tag == "header":
-            headings, dropped = inside, dropped or not inside
-        inside = inside or tag in ("article", "main")
-        path += ">" + ".".join([tag, *sorted({DIGITS.sub("N", c) for c in classes})])
+            headings, dropped, doubt = inside, dropped or not inside, 0
+        if (doubt or article) and not dropped:
+            page.parts.append(Part(around, doubt, article))
+            around = len(page.parts) - 1
+        inside = inside or article
+        own = ".".join([tag, *sorted({DIGITS.sub("N", c) for c in classes})])
+        path = xxhash.xxh3_128_hexdigest(f"{path}>{own}".encode("utf-8", "surrogatepass"))
         if tag in CONTAINERS and not dropped:
-            good = 2.0 if tag in ("article", "main") else 1.25 if GOOD_WORDS & here else 1.0
-            box = Box(path, good, first=len(blocks))
-            page.boxes.append(box)
-        if tag not in ("html",):
-            stack.append((tag, path, box, dropped, headings, inside, heading or tag in HEADINGS))
+            page.boxes.append(Box(path, 2.0 if article else 1.25 if good else 1.0, box, first=len(page.blocks)))
+            box = len(page.boxes) - 1
+        if tag != "html":
+            opened[tag] += 1
+            stack.append((tag, path, box, around, dropped, headings, inside, heading or tag in HEADINGS))
     flush()
     close(1)
-    root.last = len(blocks)
+    page.boxes[0].last = len(page.blocks)
+    page.judge()
     return page
 
 
