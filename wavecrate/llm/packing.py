@@ -45,23 +45,25 @@ END = 1
 
 
 class Ids:
-    """The ids that ``tokenizers`` gives for a byte-level BPE file, special strings read as ordinary text.
+    """The ids that ``tokenizers`` gives for a byte-level BPE file.
 
     The file's vocabulary also feeds an encoder that yields the same ids several
-    times faster; texts that it can't take go to ``tokenizers`` itself.
+    times faster; texts that it can't take, or that hold one of the file's added
+    tokens, go to ``tokenizers`` itself.
     """
 
     #: Fixed value: the split pattern of the byte-level pre-tokenizer.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     #: The fast encoder's pattern engine runs out of stack in very long blanks.
-    LONG_BLANK = re.compile(r"\s{5000}")
+    LONG_BLANK = r"\s{5000}"
 
     def __init__(self, path: str) -> None:
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", ())}
+        self.odd = re.compile("|".join([self.LONG_BLANK, *map(re.escape, sorted(special))]))
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
@@ -69,12 +71,10 @@ class Ids:
 
     @cached_property
     def slow(self) -> Tokenizer:
-        out = Tokenizer.from_file(self.path)
-        out.encode_special_tokens = True
-        return out
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.LONG_BLANK.search(text):
+        if self.odd.search(text):
             ids = self.slow.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
