@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,6 +26,7 @@ def ship(spark: SparkSession) -> None:
         return
     top = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="wavecrate-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     path = os.path.join(folder, "wavecrate.zip")
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(top.rglob("*.py")):
