@@ -11,6 +11,7 @@ language on labelled texts that the counts didn't see, whatever the table's size
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,8 +34,12 @@ SAMPLE = 800
 CALIBRATION = 300
 #: Parts of a language's rows that are left out in turn where it has too few for rows of their own.
 FOLDS = 3
+#: Share of a language's own documents that its bound may reject, if cross-entropies beyond the median fall off exponentially.
+RATE = 1e-6
 #: The bound lies so many times the upper half's spread (ninth decile less median) beyond the median, and SLACK at least.
-SPREAD, SLACK = 8, 2.0
+SPREAD, SLACK = math.log(0.5 / RATE) / math.log(5), 2.0
+#: Short texts say little: the margin grows by sqrt(1 + EVIDENCE / characters).
+EVIDENCE = 100
 #: Words that a worker remembers, and the longest that it does.
 MEMORY, LONGEST = 100_000, 24
 #: Rows that are filtered at once.
@@ -91,8 +96,8 @@ class Model:
     #: By order: sorted hashes of contexts and their log back-off weights.
     contexts: list[np.ndarray] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
-    #: Highest accepted cross-entropy by language.
-    bounds: dict[str, float] = field(default_factory=dict)
+    #: By language, the usual cross-entropy and the margin beyond it that long texts are accepted in.
+    bounds: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def score(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word, its log-probability by language and its number of predicted characters."""
@@ -220,7 +225,9 @@ def judge(scorer: Scorer, texts: list[list[str]]) -> list[tuple[str, float, floa
         entropy = -total / n
         best = int(np.argmin(entropy))
         lang, share = scorer.model.langs[best], np.exp(entropy[best] - entropy)
-        out.append((lang, float(1 / share.sum()), float(entropy[best]), bool(entropy[best] > scorer.model.bounds.get(lang, np.inf))))
+        middle, margin = scorer.model.bounds.get(lang, (0.0, math.inf))
+        rejected = entropy[best] > middle + margin * math.sqrt(1 + EVIDENCE / n)
+        out.append((lang, float(1 / share.sum()), float(entropy[best]), bool(rejected)))
     return out
 
 
@@ -265,7 +272,7 @@ def _predicted(rows: DataFrame, model: Model) -> DataFrame:
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "row_key", "lang_pred", "score", "entropy", "rejected"])
 
-    return rows.mapInArrow(run, "doc_id long, row_key long, lang_pred string, score double, entropy double, rejected boolean")
+    return rows.mapInArrow(run, "doc_id long, row_key binary, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,12 +327,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             unseen.append((fit(counts), drawn.filter(F.col("fold") == k)))
     scored = None
     for other, part in unseen:
-        found = _predicted(part.select("doc_id", F.lit(0).cast("long").alias("row_key"), "text"), other).filter("entropy is not null").select("lang_pred", "entropy")
+        found = _predicted(part.select("doc_id", F.lit(b"").alias("row_key"), "text"), other).filter("entropy is not null").select("lang_pred", "entropy")
         found = materialize(found, "langid-calibration")  # a worker holds one model at a time
         scored = found if scored is None else scored.union(found)
     for r in scored.groupBy("lang_pred").agg(F.expr("percentile(entropy, array(0.5, 0.9))").alias("q")).collect():
         middle, high = r["q"]
-        model.bounds[r["lang_pred"]] = middle + max(SLACK, SPREAD * (high - middle))  # far beyond what labelled texts reach
+        model.bounds[r["lang_pred"]] = (middle, max(SLACK, SPREAD * (high - middle)))  # far beyond what labelled texts reach
     return model
 
 
