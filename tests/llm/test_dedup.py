@@ -38,6 +38,14 @@ def test_exact(docs, corpus, digest):
     assert sum(r["kept"] for r in rows) == len(groups(corpus))
 
 
+def test_exact_hot_groups_are_dealt(spark):
+    """Repeated rows without an id, half of the table, reach many tasks and one of them stays."""
+    rows = [(None, "same text")] * 2000 + [(i, f"text {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = exact_dedup.exact_dedup(df).collect()
+    assert len(out) == 4000 and sum(r["kept"] for r in out) == 2001 and sum(r["group_size"] == 2000 for r in out) == 2000
+
+
 def test_exact_rows(docs, corpus, none):
     kept = exact_dedup.unique_rows(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups(corpus))

@@ -111,7 +111,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, window: in
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, doc_tokens long, full array<long>, rest array<long>")
+    return rows.mapInArrow(run, "doc_id long, row_key binary, doc_tokens long, full array<long>, rest array<long>")
 
 
 def combinations(window: int) -> np.ndarray:

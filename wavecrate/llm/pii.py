@@ -173,7 +173,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in (*BASE, *ADDED))
-    return rows.mapInArrow(_scan, f"doc_id long, row_key long, {counts}, base_sha256 string, spans string")
+    return rows.mapInArrow(_scan, f"doc_id long, row_key binary, {counts}, base_sha256 string, spans string")
 
 
 def redact(text: str | None, mask: str = "[{kind}]") -> str | None:

@@ -9,33 +9,46 @@ from wavecrate.llm.scratch import materialize, small
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """64-bit key of a row; rows that share id and text share it and are interchangeable."""
-    return F.xxhash64(doc_id.cast("string"), doc_id.isNull(), text, text.isNull())
+    """128-bit key of a row, as 16 bytes; rows that share id and text share it and are interchangeable.
+
+    At 10^11 rows two different ones share a key with a chance of about 10^-17.
+    """
+    parts = (doc_id.cast("string"), doc_id.isNull(), text, text.isNull())
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(half), *parts)), 16, "0") for half in (1, 2)]))
+
+
+def private(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``docs`` has it, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeated: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose row key is in ``keys`` (row_key, materialised), with all their columns.
 
     ``repeated``: keys (row_key) of rows that stand more than once in ``docs``; of
-    each of those one row stays.
+    each of those one row stays. No keys or no rows give no rows.
     """
-    names = docs.columns
-    held = docs.withColumn("__row_key", row_key(F.col(id_col), F.col(text_col)))
-    chosen = keys.select(F.col("row_key").alias("__row_key"))
-    out = held.join(F.broadcast(chosen) if small(keys) else chosen, "__row_key", "left_semi")
+    key = private(docs, "__row_key")
+    held = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    chosen = keys.select(F.col("row_key").alias(key))
+    out = held.join(F.broadcast(chosen) if small(keys) else chosen, key, "left_semi")
     if repeated is not None and not repeated.isEmpty():
-        again = repeated.select(F.col("row_key").alias("__row_key"))
+        again = repeated.select(F.col("row_key").alias(key))
         again = F.broadcast(again) if small(repeated) else again
-        once = out.join(again, "__row_key", "left_semi").dropDuplicates(["__row_key"])
-        out = out.join(again, "__row_key", "left_anti").unionByName(once)
-    return out.select(*names)
+        once = out.join(again, key, "left_semi").dropDuplicates([key])
+        out = out.join(again, key, "left_anti").unionByName(once)
+    return out.drop(key)
 
 
 def drop_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose row key is not in ``keys`` (row_key, materialised)."""
-    held = docs.withColumn("__row_key", row_key(F.col(id_col), F.col(text_col)))
-    gone = keys.select(F.col("row_key").alias("__row_key")).distinct()
-    return held.join(F.broadcast(gone) if small(keys) else gone, "__row_key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose row key is not in ``keys`` (row_key, materialised), with all their columns; repeated rows go or stay together."""
+    key = private(docs, "__row_key")
+    held = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    gone = keys.select(F.col("row_key").alias(key)).distinct()
+    return held.join(F.broadcast(gone) if small(keys) else gone, key, "left_anti").drop(key)
 
 
 #: Rows that one window of ``numbered`` sorts.

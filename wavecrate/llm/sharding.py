@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrate.llm.rows import numbered, row_key
+from wavecrate.llm.rows import numbered, private, row_key
 from wavecrate.llm.scratch import materialize
 
 BINS = 1024
@@ -109,7 +109,7 @@ def kd_shards(
     text_col: str = "text",
     dims: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot.
+    """One row per row of ``docs``: doc_id, row_key, size, text_crc32, shard, slot.
 
     Splits until leaves reach ``target_bytes`` (or into ``shards`` leaves). Size is
     the text's UTF-8 bytes plus 8; a null text has none. ``dims`` maps names to
@@ -145,11 +145,16 @@ def kd_shards(
         level = [y for x in level for y in (Node(x.first, x.leaves // 2), Node(x.first + x.leaves // 2, x.leaves - x.leaves // 2))]
     placed = materialize(tree.select("doc_id", "row_key", "size", "text_crc32", F.col("node").alias("shard")), "placed")
     sizes = materialize(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), "shard-rows")
-    return numbered(placed, "shard", ["row_key", "doc_id"], "slot", sizes).select("doc_id", "size", "text_crc32", "shard", "slot")
+    return numbered(placed, "shard", ["row_key", "doc_id"], "slot", sizes).select("doc_id", "row_key", "size", "text_crc32", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **how) -> None:
-    """Write the documents under ``path``, one folder a shard."""
-    placed = kd_shards(docs, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
-    same = (F.col(id_col).cast("long").eqNullSafe(F.col("__id"))) & (F.crc32(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__crc"))
-    docs.join(placed, same).drop("__id", "__crc").write.partitionBy("shard").parquet(path)
+    """Write all rows of ``docs`` under ``path`` with all their columns, one folder a shard.
+
+    The folders' column is ``shard``, or a longer name if ``docs`` has that one.
+    Repeated rows are all written, in one shard; an empty table writes no folder.
+    """
+    key, shard = private(docs, "__row_key"), private(docs, "shard")
+    placed = kd_shards(docs, id_col=id_col, text_col=text_col, **how).select(F.col("row_key").alias(key), F.col("shard").alias(shard)).distinct()
+    held = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    held.join(placed, key).drop(key).write.partitionBy(shard).parquet(path)

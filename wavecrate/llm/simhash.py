@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     ident, text = F.col(id_col), F.col(text_col)
     rows = docs.select(ident.cast("long").alias("doc_id"), row_key(ident, text).alias("row_key"), text.cast("binary").alias("t"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
+    return rows.mapInArrow(_fingerprints, "doc_id long, row_key binary, fp long")
 
 
 def _shift(bits: Column, left: int) -> Column:

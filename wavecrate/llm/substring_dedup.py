@@ -152,8 +152,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    ident = F.coalesce("doc_id", F.lit(LAST) + F.call_function("shiftrightunsigned", F.col("row_key"), F.lit(2)))
-    found = rows.select(ident.alias("id"), "row_key", "text").mapInArrow(_spans(run, min_words), "id long, row_key long, first int, length int, hash long")
+    ident = F.coalesce("doc_id", F.lit(LAST) + F.call_function("shiftrightunsigned", F.xxhash64("row_key"), F.lit(2)))
+    found = rows.select(ident.alias("id"), "row_key", "text").mapInArrow(_spans(run, min_words), "id long, row_key binary, first int, length int, hash long")
     found = materialize(found, "spans")
     counts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1").select("hash", "first_id")
     counts = materialize(counts, "repeated-spans")
@@ -168,4 +168,4 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = materialize(covers.select("row_key"), "covered-keys")
     held = rows.join(F.broadcast(keys), "row_key", "left_semi") if small(keys) else rows
     touched = held.join(covers, "row_key")
-    return touched.select("doc_id", "row_key", "text", "covers").mapInArrow(_cleaned, "doc_id long, row_key long, text string, n_removed long, removed string")
+    return touched.select("doc_id", "row_key", "text", "covers").mapInArrow(_cleaned, "doc_id long, row_key binary, text string, n_removed long, removed string")
