@@ -58,6 +58,13 @@ def test_nulls_repeats_and_nothing(spark):
     assert shingle_links.representatives(df.limit(0)).count() == 0
 
 
+def test_fingerprint_of_a_set():
+    r = random.Random(1)
+    h = np.unique(np.array([r.getrandbits(64) for _ in range(9001)], dtype=np.uint64))
+    want = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
+    assert shingle_links.print_of(h) & (2**64 - 1) == want and shingle_links.print_of(h[:0]) == 0
+
+
 def test_links_beyond_two_bits(spark):
     r = random.Random(3)
     base = r.getrandbits(64)
