@@ -25,6 +25,8 @@ MIN_OVERLAP = 13
 AGREE = (4, 5)
 #: Windows taken from an array at once; bounds the memory that a very long text takes.
 CHUNK = 2048
+#: A benchmark's seeds beyond the broadcast bound are filtered by 2 ** FILTER words of 64 bits: 16 MB at most.
+FILTER = 20
 
 
 def tokens(text: Column) -> Column:
@@ -50,6 +52,33 @@ def seeds(rows: DataFrame, key: list[str], masks: tuple[str, ...] = MASKS) -> Da
     return each.filter("s is not null").select(*key, "pos", "s.seed", "s.hash")
 
 
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+
+
+def _filter_bits(rows: DataFrame) -> tuple[Column, Column]:
+    """The word and the bits of a hash in a Bloom filter of 2 ** ``FILTER`` words."""
+    h = F.xxhash64("seed", "hash")
+    word = F.call_function("shiftrightunsigned", h, F.lit(64 - FILTER)).cast("int")
+    return word, _bit(h.bitwiseAND(F.lit(63))).bitwiseOR(_bit(F.call_function("shiftrightunsigned", h, F.lit(6)).bitwiseAND(F.lit(63))))
+
+
+def _meet(windows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``windows`` joined with ``wanted`` (materialised) on seed and hash.
+
+    Seeds beyond the broadcast bound are first looked up in a Bloom filter, whose
+    words are a broadcast table of a fixed greatest size; what passes is shuffled.
+    """
+    if small(wanted):
+        return windows.join(F.broadcast(wanted), ["seed", "hash"])
+    word, bits = _filter_bits(wanted)
+    held = materialize(wanted.groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits")), "seed-filter")
+    word, bits = _filter_bits(windows)
+    asked = windows.withColumn("asked", word).withColumn("mask", bits)
+    passed = asked.join(F.broadcast(held), (F.col("asked") == F.col("word")) & (F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")), "left_semi")
+    return passed.drop("asked", "mask").join(wanted, ["seed", "hash"])
+
+
 def run_length(size: Column) -> Column:
     """Tokens in each of the runs that an item of ``size`` tokens is cut into: one run more than tokens may differ."""
     p, q = AGREE
@@ -121,8 +150,7 @@ def contaminated(
     wanted = materialize(item_seeds.select("seed", "hash", "item_key", F.col("pos").alias("q")).distinct(), "benchmark-seeds")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     words = rows.select("row_key", tokens(F.col("text")).alias("words")).filter("size(words) > 0")
-    probe = F.broadcast(wanted) if small(wanted) else wanted
-    met = seeds(words, ["row_key"], masks).join(probe, ["seed", "hash"]).select("row_key", "item_key", (F.col("pos") - F.col("q")).alias("at"))
+    met = _meet(seeds(words, ["row_key"], masks), wanted).select("row_key", "item_key", (F.col("pos") - F.col("q")).alias("at"))
     hits = materialize(met.distinct(), "seed-hits")
     # Only documents with a hit are read again.
     texts = rows.join(F.broadcast(hits.select("row_key").distinct()) if small(hits) else hits.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
@@ -149,6 +177,10 @@ def contaminated(
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with all their columns."""
+    """The rows of ``docs`` that no item contaminates, with all their columns.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table on
+    either side leaves the rows as they are.
+    """
     keys = materialize(contaminated(docs, benchmark, **how).select("row_key").distinct(), "contaminated-rows")
     return drop_rows(docs, keys, how.get("id_col", "doc_id"), how.get("text_col", "text"))
