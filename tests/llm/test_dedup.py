@@ -152,7 +152,7 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_spans(spark, docs, corpus, none):
+def test_spans(spark, docs, corpus, none, monkeypatch):
     passage = "Every second thing was blue that day, and nobody had a word for it. They went on all the same, until the road ended. Then it rained for three whole days."
     rows = [(d, t) for d, t, *_ in corpus] + [(1000 + i, f"Intro number {i} stands here. {passage} And then something else {i * 7}.") for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -171,6 +171,10 @@ def test_spans(spark, docs, corpus, none):
     assert told == {d: len(c) for d, c in covered.items()}
     assert 1000 not in got and all(passage not in got[1000 + i]["text"] and f"Intro number {i}" in got[1000 + i]["text"] for i in range(1, 5))
     assert substring_dedup.repeated_spans(none).count() == 0
+    for hot, small in ((1, True), (1, False), (10**6, True)):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        monkeypatch.setattr(substring_dedup, "small", lambda df, small=small: small)
+        assert {r["doc_id"]: (r["n_removed"], r["removed"]) for r in substring_dedup.repeated_spans(df).collect()} == {d: (r["n_removed"], r["removed"]) for d, r in got.items()}
 
 
 def test_removed_spans_are_what_went():

@@ -37,6 +37,8 @@ SENTENCE = re.compile(r"\s*(\S.*?(?:[.!?]+(?=\s|\Z)|(?=\n)|\Z))", re.DOTALL)
 WORD = re.compile(r"\S+")
 #: Null ids come after all others (below this), each text in a place of its own.
 LAST = 1 << 62
+#: Spans that stand more often are joined by broadcasting them.
+HOT = 1000
 
 
 def cuts(parts: list[str]) -> list[int]:
@@ -69,7 +71,10 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def spans(parts: list[tuple[int, int, str, int]], run: int, min_words: int) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, number of sentences, hash) of every span: the shortest from each sentence on and the shortest up to each."""
+    """(first sentence, number of sentences, 128-bit hash) of every span: the shortest from each sentence on and the shortest up to each.
+
+    At 10^12 spans two different ones share a hash with a chance of about 10^-15.
+    """
     before = [0]
     for p in parts:
         before.append(before[-1] + p[3])
@@ -90,23 +95,25 @@ def spans(parts: list[tuple[int, int, str, int]], run: int, min_words: int) -> I
     for first, last in places:
         # Numbers of words keep spans apart that differ only in where sentences end.
         text = "\n".join(p[2] for p in parts[first:last])
-        yield first, last - first, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+        yield first, last - first, xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def _spans(run: int, min_words: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, first, length, hashes = [], [], [], []
+            rows, first, length, high, low = [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
                 for a, n, h in spans(sentences(text.as_py() or ""), run, min_words):
                     rows.append(i)
                     first.append(a)
                     length.append(n)
-                    hashes.append(h)
+                    high.append(h >> 64)
+                    low.append(h & (1 << 64) - 1)
             at = pa.array(rows, pa.int64())
+            halves = [pa.array(np.array(half, dtype="<u8").view("<i8")) for half in (high, low)]
             yield pa.record_batch(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(length, pa.int32()), pa.array(np.array(hashes, dtype="<u8").view("<i8"))],
-                names=["id", "row_key", "first", "length", "hash"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(length, pa.int32()), *halves],
+                names=["id", "row_key", "first", "length", "hash", "hash2"],
             )
 
     return go
@@ -153,14 +160,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
     ident = F.coalesce("doc_id", F.lit(LAST) + F.call_function("shiftrightunsigned", F.xxhash64("row_key"), F.lit(2)))
-    found = rows.select(ident.alias("id"), "row_key", "text").mapInArrow(_spans(run, min_words), "id long, row_key binary, first int, length int, hash long")
+    found = rows.select(ident.alias("id"), "row_key", "text").mapInArrow(_spans(run, min_words), "id long, row_key binary, first int, length int, hash long, hash2 long")
     found = materialize(found, "spans")
-    counts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1").select("hash", "first_id")
+    span = ["hash", "hash2"]
+    counts = found.groupBy(*span).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
     counts = materialize(counts, "repeated-spans")
-    places = found.join(counts, "hash")
+    hot = materialize(counts.filter(F.col("n") > HOT).select(*span, "first_id"), "hot-spans")
+    if small(hot):  # at most one in HOT spans, so places of one span never meet in one task
+        places = found.join(F.broadcast(hot.select(*span)), span, "left_anti").join(counts.filter(F.col("n") <= HOT).select(*span, "first_id"), span)
+        places = places.unionByName(found.join(F.broadcast(hot), span))
+    else:
+        places = found.join(counts.select(*span, "first_id"), span)
     later = places.filter("id > first_id").select("row_key", "first", "length")
     # Within the first document, the first of its places stays; the group is one document's at most.
-    order = Window.partitionBy("hash", "id").orderBy("first", "row_key")
+    order = Window.partitionBy(*span, "id").orderBy("first", "row_key")
     again = places.filter("id = first_id").withColumn("nth", F.dense_rank().over(order)).filter("nth > 1").select("row_key", "first", "length")
     covers = later.union(again).groupBy("row_key").agg(F.collect_list(F.struct("first", "length")).alias("covers"))
     covers = materialize(covers, "covered")
