@@ -42,6 +42,8 @@ CUES = {
     "passport": re.compile(r"(?=[A-Z0-9]*[0-9]{5})[A-Z0-9]{6,9}(?![A-Za-z0-9])"),
     "account": re.compile(r"[0-9](?:[ -]?[0-9]){5,17}(?![A-Za-z0-9])"),
 }
+CUES |= dict.fromkeys(("reisepass", "passeport", "pasaporte"), CUES["passport"])
+CUES |= dict.fromkeys(("konto", "kontonummer", "compte", "cuenta"), CUES["account"])
 
 
 def _automaton() -> ahocorasick.Automaton:
