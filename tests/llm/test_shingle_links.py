@@ -65,6 +65,15 @@ def test_fingerprint_of_a_set():
     assert shingle_links.print_of(h) & (2**64 - 1) == want and shingle_links.print_of(h[:0]) == 0
 
 
+def test_bitmaps_bound_the_difference():
+    r = random.Random(2)
+    for _ in range(200):
+        pool = [r.getrandbits(64) for _ in range(r.randrange(1, 900))]
+        a, b = ({x for x in pool if r.random() < 0.7} for _ in range(2))
+        x, y = (shingle_links.bitmap(np.array(sorted(v), dtype=np.uint64)) for v in (a, b))
+        assert sum(((int(u) ^ int(v)) & (2**64 - 1)).bit_count() for u, v in zip(x, y)) <= len(a ^ b)
+
+
 def test_links_beyond_two_bits(spark):
     r = random.Random(3)
     base = r.getrandbits(64)
