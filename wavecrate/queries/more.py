@@ -77,21 +77,21 @@ def P35_link_or_merge(b: Bed) -> DataFrame:
 
 
 @query(
-    "SELECT c.id AS catalog_id, a.s_suppkey AS artist_id, 'primary' AS role, 0 AS position FROM catalog c JOIN supplier a ON lower(a.s_name) = 'supplier#' || lpad(CAST(c.id % 100 AS VARCHAR), 9, '0') WHERE c.id % 2 = 0"
+    "SELECT c.id AS catalog_id, a.s_suppkey AS artist_id, 'primary' AS role, 0 AS position FROM catalog c JOIN supplier a ON lower(a.s_name) = 'supplier#' || lpad(CAST(c.id % 100 AS VARCHAR), 9, '0')"
 )
 def P34_new_links(b: Bed) -> DataFrame:
-    rows = b.catalog.filter("id % 2 = 0").select("id", F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 100).cast("string"), 9, "0")).alias("artist"))
+    rows = b.catalog.select("id", F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 100).cast("string"), 9, "0")).alias("artist"))
     names = b.artists.select(F.col("normalized_name").alias("name"), F.col("id").alias("artist_id"), F.lit(False).alias("alias"))
     return A.new_links(rows, names)
 
 
 @query(
-    "SELECT id, CASE WHEN r THEN 130.0 ELSE bpm END AS bpm, coalesce(label, CASE WHEN r THEN 'L' END) AS label, release_date, CASE WHEN r AND scope = 'private' THEN 'shared' ELSE scope END AS scope FROM (SELECT *, id % 3 = 0 AS r FROM catalog) c",
+    "SELECT id, CASE WHEN r THEN 130.0 ELSE bpm END AS bpm, coalesce(label, CASE WHEN r THEN 'L' END) AS label, release_date, CASE WHEN r AND scope = 'private' THEN 'shared' ELSE scope END AS scope FROM (SELECT *, TRUE AS r FROM catalog) c",
     text=("release_date",),
 )
 def P27_apply_record(b: Bed) -> DataFrame:
     catalog = b.catalog.withColumns({"bpm_source": F.lit(None).cast("string"), "key_source": F.lit("beatport")})
-    records = b.catalog.filter("id % 3 = 0").select(
+    records = b.catalog.select(
         "id", F.col("id").cast("string").alias("r_record_id"), F.lit(130.0).alias("r_bpm"), F.lit("1A").alias("r_key"), F.lit("L").alias("r_label"), F.lit("house").alias("r_genre"), F.lit(None).cast("date").alias("r_release_date")
     )
     return R.apply_record(catalog, records).select("id", "bpm", "label", "release_date", "scope")
@@ -106,10 +106,10 @@ def P25_hit_matches(b: Bed) -> DataFrame:
 
 
 @query(
-    "WITH inc AS (SELECT p_partkey AS row_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 900 AS VARCHAR) END AS pid, p_name AS name FROM part WHERE p_size <= 10), i AS (SELECT deezer_id, min(id) AS id FROM catalog WHERE deezer_id IS NOT NULL GROUP BY 1), j AS (SELECT title, min(id) AS id FROM catalog GROUP BY 1) SELECT row_id, coalesce(i.id, j.id) AS id, CASE WHEN i.id IS NOT NULL THEN 'platform' WHEN j.id IS NOT NULL THEN 'name' ELSE 'new' END AS how FROM inc LEFT JOIN i ON i.deezer_id = inc.pid LEFT JOIN j ON j.title = inc.name"
+    "WITH inc AS (SELECT p_partkey AS row_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 900 AS VARCHAR) END AS pid, p_name AS name FROM part), i AS (SELECT deezer_id, min(id) AS id FROM catalog WHERE deezer_id IS NOT NULL GROUP BY 1), j AS (SELECT title, min(id) AS id FROM catalog GROUP BY 1) SELECT row_id, coalesce(i.id, j.id) AS id, CASE WHEN i.id IS NOT NULL THEN 'platform' WHEN j.id IS NOT NULL THEN 'name' ELSE 'new' END AS how FROM inc LEFT JOIN i ON i.deezer_id = inc.pid LEFT JOIN j ON j.title = inc.name"
 )
 def P28_resolve(b: Bed) -> DataFrame:
-    wanted = b.part.filter("p_size <= 10").select(F.col("p_partkey").alias("row_id"), F.when(F.col("p_partkey") % 2 == 0, (F.col("p_partkey") % 900).cast("string")).alias("platform_id"), F.col("p_name").alias("name"))
+    wanted = b.part.select(F.col("p_partkey").alias("row_id"), F.when(F.col("p_partkey") % 2 == 0, (F.col("p_partkey") % 900).cast("string")).alias("platform_id"), F.col("p_name").alias("name"))
     table = b.catalog.select("id", F.col("deezer_id").alias("platform_id"), F.col("title").alias("name"))
     return R.resolve(wanted, table, b.spark.createDataFrame([], "alias string, id long"))
 
@@ -145,14 +145,14 @@ def G06_merge_external(b: Bed) -> DataFrame:
     return R.merge_external(c.filter("id % 2 = 0").withColumn("source", F.lit(1)), c.filter("id % 2 = 1").withColumn("source", F.lit(2)))
 
 
-_PARTS = "SELECT id, channel_id % 20 AS channel, lower(title) AS title, CASE WHEN regexp_matches(lower(title), 'part [0-9]+$') THEN regexp_replace(lower(title), ' part [0-9]+$', '') ELSE lower(title) END AS base_title, TRY_CAST(regexp_extract(lower(title), 'part ([0-9]+)$', 1) AS INT) AS part, played_date FROM sets WHERE id % 7 = 0"
+_PARTS = "SELECT id, channel_id % 20 AS channel, lower(title) AS title, CASE WHEN regexp_matches(lower(title), 'part [0-9]+$') THEN regexp_replace(lower(title), ' part [0-9]+$', '') ELSE lower(title) END AS base_title, TRY_CAST(regexp_extract(lower(title), 'part ([0-9]+)$', 1) AS INT) AS part, played_date FROM sets"
 
 
 @query(
     "WITH s AS (" + _PARTS + ") SELECT channel, base_title, count(*) AS members FROM s WHERE part IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT part) = count(*)"
 )
 def P18_part_groups(b: Bed) -> DataFrame:
-    s = b.sets.filter("id % 7 = 0").select("id", (F.col("channel_id") % 20).alias("channel"), set_title(F.col("title")).alias("t"), "played_date")
+    s = b.sets.select("id", (F.col("channel_id") % 20).alias("channel"), set_title(F.col("title")).alias("t"), "played_date")
     s = s.select("id", "channel", F.col("t.text").alias("title"), "t.base_title", F.col("t.part_number").alias("part"), F.col("t.part_total").alias("total"), "played_date")
     return S.part_groups(s, b.set_tracks.select("set_id", F.col("catalog_id").alias("mtid"))).select("channel", "base_title", "members")
 
@@ -221,11 +221,11 @@ def V12_new_since_seen(b: Bed) -> DataFrame:
 
 
 @query(
-    "WITH items AS (SELECT id AS item_id, CASE id % 3 WHEN 0 THEN 'track' WHEN 1 THEN 'artist' ELSE 'set' END AS item_type, row_number() OVER (ORDER BY id) AS position FROM catalog WHERE id % 5 = 0) SELECT i.position, i.item_type, i.item_id, coalesce(c.title, a.name, s.title) AS name, coalesce(c.title, a.name, s.title) IS NULL AS missing FROM items i LEFT JOIN catalog c ON i.item_type = 'track' AND c.id = i.item_id LEFT JOIN artists a ON i.item_type = 'artist' AND a.id = i.item_id LEFT JOIN sets s ON i.item_type = 'set' AND s.id = i.item_id"
+    "WITH items AS (SELECT id AS item_id, CASE id % 3 WHEN 0 THEN 'track' WHEN 1 THEN 'artist' ELSE 'set' END AS item_type, id AS position FROM catalog) SELECT i.position, i.item_type, i.item_id, coalesce(c.title, a.name, s.title) AS name, coalesce(c.title, a.name, s.title) IS NULL AS missing FROM items i LEFT JOIN catalog c ON i.item_type = 'track' AND c.id = i.item_id LEFT JOIN artists a ON i.item_type = 'artist' AND a.id = i.item_id LEFT JOIN sets s ON i.item_type = 'set' AND s.id = i.item_id"
 )
 def V13_collection_items(b: Bed) -> DataFrame:
     kind = F.when(F.col("id") % 3 == 0, "track").when(F.col("id") % 3 == 1, "artist").otherwise("set")
-    items = b.catalog.filter("id % 5 = 0").select(F.col("id").alias("item_id"), kind.alias("item_type"), (F.col("id") / 5 + 1).cast("int").alias("position"))
+    items = b.catalog.select(F.col("id").alias("item_id"), kind.alias("item_type"), F.col("id").alias("position"))
     every = b.catalog.select(F.lit("track").alias("item_type"), F.col("id").alias("item_id"), F.col("title").alias("name"))
     every = every.union(b.artists.select(F.lit("artist"), "id", "name")).union(b.sets.select(F.lit("set"), "id", "title"))
     return items.join(every, ["item_type", "item_id"], "left").select("position", "item_type", "item_id", "name", F.col("name").isNull().alias("missing"))
@@ -242,9 +242,9 @@ def V04_genre_detail(b: Bed) -> DataFrame:
     return each.select("genre").distinct().join(n_sets, "genre", "left").join(n_lists, "genre", "left").na.fill(0)
 
 
-@query("SELECT DISTINCT x.catalog_id AS a, y.catalog_id AS b FROM set_tracks x JOIN set_tracks y ON x.set_id = y.set_id AND x.catalog_id <> y.catalog_id AND abs(x.position - y.position) <= 1 WHERE x.catalog_id % 100 = 0")
+@query("SELECT DISTINCT x.catalog_id AS a, y.catalog_id AS b FROM set_tracks x JOIN set_tracks y ON x.set_id = y.set_id AND x.catalog_id <> y.catalog_id AND abs(x.position - y.position) <= 1")
 def T05_adjacent(b: Bed) -> DataFrame:
-    return E.adjacent(b.set_tracks, 1).filter("a % 100 = 0")
+    return E.adjacent(b.set_tracks, 1)
 
 
 @query(

@@ -60,7 +60,7 @@ VIEWS: dict[str, str] = {
         FROM {supplier}""",
     "catalog_artists": """
         SELECT catalog_id, artist_id, row_number() OVER (PARTITION BY catalog_id ORDER BY artist_id) AS position
-        FROM (SELECT DISTINCT l_partkey AS catalog_id, l_suppkey AS artist_id FROM {lineitem} WHERE l_quantity >= 48 AND l_linenumber <= 3) d""",
+        FROM (SELECT DISTINCT l_partkey AS catalog_id, l_suppkey AS artist_id FROM {lineitem} WHERE l_quantity >= 48) d""",
     "sets": """
         SELECT o_orderkey AS id, o_orderpriority || ' night ' || CAST(o_custkey % 50 AS STRING) || CASE WHEN o_orderkey % 5 = 0 THEN ' part ' || CAST(o_orderkey % 3 + 1 AS STRING) ELSE '' END AS title,
                CAST(o_orderdate AS DATE) AS played_date, o_custkey AS channel_id, o_orderstatus = 'P' AS unreliable,
@@ -78,10 +78,10 @@ VIEWS: dict[str, str] = {
     "library": """
         SELECT o_custkey AS user_id, l_partkey AS catalog_id, max(CAST(l_shipdate AS DATE)) AS created_at,
                CASE WHEN l_partkey % 11 = 0 THEN CAST(0 AS DOUBLE) WHEN l_partkey % 3 = 0 THEN CAST(100 + l_partkey % 60 AS DOUBLE) END AS rb_bpm
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_custkey < 40 AND l_linestatus = 'F' AND l_linenumber <= 2 GROUP BY o_custkey, l_partkey""",
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' GROUP BY o_custkey, l_partkey""",
     "opinions": """
         SELECT o_custkey AS user_id, CAST(l_partkey AS STRING) AS entity_key, CASE WHEN max(l_quantity) >= 46 THEN 'liked' ELSE 'disliked' END AS opinion
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_custkey < 40 AND (l_quantity >= 46 OR l_quantity <= 2) GROUP BY o_custkey, l_partkey""",
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity >= 46 OR l_quantity <= 2 GROUP BY o_custkey, l_partkey""",
     "genre_nodes": _values([(i, label) for label, i in _ID.items()], "id, label"),
     "genre_edges": _values([(_ID[a], _ID[b], "parent") for a, b in GENRE_PARENTS] + [(_ID[a], _ID[b], "influence") for a, b in GENRE_INFLUENCES], "child_id, parent_id, type"),
     "genre_map": _values([(raw, _ID.get(raw)) for raw in _MAPPED], "raw_name, node_id"),
