@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wavecrate.operators import artists as A
 from wavecrate.operators import backlog, embeddings, library, sets
 from wavecrate.operators import enrichment as R
-from wavecrate.streaming.deadletter import split_batches
+from wavecrate.streaming.deadletter import latest, split_batches
 
 
 def rows(df, *columns):
@@ -140,9 +140,11 @@ def test_folders_and_outcomes(spark):
 
 def test_dead_letters(spark, tmp_path):
     kept = []
-    run = split_batches(lambda df: kept.append(df.count()), str(tmp_path), F.col("x") > 0, keep=2)
+    run = split_batches(lambda df: kept.append(df.count()), str(tmp_path), F.col("x") > 0)
     run(spark.createDataFrame([(1,), (2,), (-1,), (-2,), (-3,), (None,)], "x int"), 7)
-    assert kept == [2] and spark.read.json(str(tmp_path)).count() == 2
+    letters = spark.read.json(str(tmp_path))
+    assert kept == [2] and letters.count() == 4
+    assert [r["x"] for r in latest(letters, "x", "batch", keep=2).collect()] == [-1, -2]
 
 
 @pytest.mark.parametrize(("confidence", "want"), [(2.0, 120.0), (1.9, None)])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavecrate import patterns as P
-from wavecrate.params import ARTICLES, DECORATIONS, GENERIC_TERMS, PRO_SOCIETIES, ROMANS
+from wavecrate.params import ARTICLES, DECORATIONS, GENERIC_TERMS, PLACEHOLDER_MD5, PRO_SOCIETIES, ROMANS
 
 
 @F.pandas_udf(T.StringType())
@@ -249,3 +249,8 @@ def relevance(query: str, name: Column) -> Column:
 
 def cache_key(query: Column) -> Column:
     return F.md5(F.lower(F.trim(query)))
+
+
+def is_placeholder(image: Column, prefix: str = PLACEHOLDER_MD5) -> Column:
+    """Whether an image's bytes are the generic cover, by the start of their digest; null and empty ones aren't."""
+    return F.coalesce((F.octet_length(image) > 0) & F.startswith(F.md5(image), F.lit(prefix)), F.lit(False))

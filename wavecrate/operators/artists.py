@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wavecrate.functions.text import artist_parts, ascii_fold, collapse, looks_acronym, normalize, punct_fold, strip_artist_noise
 from wavecrate.params import NOT_FOUND
 from wavecrate.patterns import FLAT_ARTISTS
-from wavecrate.plans.topk import one_per, top_k
+from wavecrate.plans.topk import one_per
 from wavecrate.shipping import ship
 
 FAN_FLOOR = 1000
@@ -97,7 +97,8 @@ def hits_ranked(artists: DataFrame, hits: DataFrame) -> DataFrame:
     accent = (F.col("fa") != "") & (F.col("fa") == F.col("fh"))
     punct = (punct_fold(F.col("fa")) != "") & (punct_fold(F.col("fa")) == punct_fold(F.col("fh"))) & ~looks_acronym(F.col("name")) & ~looks_acronym(F.col("hit_name")) & (F.coalesce("fans", F.lit(0)) >= FAN_FLOOR)
     matched = both.withColumn("how", F.when(exact, "exact").when(accent, "accent").when(punct, "punct")).filter("how is not null")
-    return top_k(matched, ["artist_id"], [F.desc(F.coalesce("fans", F.lit(0))), F.col("seq")], 1000).select("artist_id", "hit_id", "how", "rank")
+    order = Window.partitionBy("artist_id").orderBy(F.desc(F.coalesce("fans", F.lit(0))), "seq")
+    return matched.select("artist_id", "hit_id", "how", F.row_number().over(order).alias("rank"))
 
 
 def link_or_merge(ranked: DataFrame, held: DataFrame) -> DataFrame:

@@ -56,3 +56,14 @@ def outcome(old: Column, new: Column, stale: Column) -> Column:
 def verdict(bpm: Column, estimate: Column, confidence: Column, least: float = 2.0) -> Column:
     """An estimate counts if it is sure enough and there is no tempo yet."""
     return F.coalesce(bpm, F.when(confidence >= least, estimate))
+
+
+def cooled(as_of: Column, searched: Column, hours: int = 24) -> Column:
+    """Never searched, or longer ago than the wait."""
+    return searched.isNull() | (searched < as_of - F.make_dt_interval(F.lit(0), F.lit(hours)))
+
+
+def before_cut(rows: DataFrame, cut: Column, limit: int, ident: str = "deezer_id") -> DataFrame:
+    """Rows with an id that were searched before ``cut``, oldest first, up to the limit; those never stamped are left out."""
+    held = rows.filter(F.col(ident).isNotNull() & (F.col("searched_at") < cut))
+    return held.orderBy("searched_at", "id").limit(limit)

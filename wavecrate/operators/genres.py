@@ -35,7 +35,8 @@ def artist_genres(links: DataFrame, catalog: DataFrame, share: float = 0.2) -> D
     each = exploded(links.join(catalog.select(F.col("id").alias("catalog_id"), "genres"), "catalog_id")).groupBy("artist_id", "genre").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("artist_id"))
     kept = each.withColumn("least", F.greatest(F.lit(1), F.floor(total * share))).filter(F.col("n") >= F.col("least"))
-    return top_k(kept, ["artist_id"], [F.desc("n"), F.col("genre")], 1000).select("artist_id", "genre", "n", "rank")
+    order = Window.partitionBy("artist_id").orderBy(F.desc("n"), "genre")
+    return kept.select("artist_id", "genre", "n", F.row_number().over(order).alias("rank"))
 
 
 def pillar_counts(genres: DataFrame, pillars: DataFrame) -> DataFrame:

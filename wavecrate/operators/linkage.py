@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrate.functions.text import token_jaccard, track_title
-from wavecrate.params import SetMatching
+from wavecrate.params import NOT_FOUND, SetMatching
 from wavecrate.plans.topk import one_per
 from wavecrate.scratch import materialize
 from wavecrate.shipping import ship
@@ -36,7 +36,7 @@ def cliques(rows: DataFrame, group: str) -> DataFrame:
 
     In order of id, a row joins the first cluster all of whose members are the
     same track; cluster is its first member's id. Groups are as small as a
-    platform id's rows are few; rows without one are in no group.
+    platform id's rows are few; rows without one, or marked as not found, are in no group.
     """
     ship(rows.sparkSession)
 
@@ -61,7 +61,7 @@ def cliques(rows: DataFrame, group: str) -> DataFrame:
                     out[other["id"]] = seed["id"]
         return pd.DataFrame({group: pdf[group].iloc[0], "id": list(out), "cluster": list(out.values())})
 
-    need = rows.filter(F.col(group).isNotNull()).select(group, F.col("id").cast("long").alias("id"), "isrc", track_title(F.col("title")).alias("plain"))
+    need = rows.filter(F.col(group) != NOT_FOUND).select(group, F.col("id").cast("long").alias("id"), "isrc", track_title(F.col("title")).alias("plain"))
     kind = rows.schema[group].dataType.simpleString()
     return need.groupBy(group).applyInPandas(cluster, f"{group} {kind}, id long, cluster long")
 
@@ -152,6 +152,8 @@ def attach_groups(pairs: DataFrame, rounds: int = 30) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"groups did not settle in {rounds} rounds")
     return labels.select(F.col("node").alias("set_id"), F.col("label").alias("parent"))
 
 
@@ -177,3 +179,13 @@ def reconcile(library: DataFrame, streaming: DataFrame, located: DataFrame) -> D
     elsewhere = located.groupBy("key").agg(F.min("playlist").alias("found"))
     issue = F.when(F.col("l").isNull() & F.col("found").isNotNull(), "MISPLACED").when(F.col("l").isNull(), "DOWNLOAD_NEEDED").when(F.col("s").isNull(), "ANOMALY")
     return both.join(elsewhere, "key", "left").select("playlist", "key", issue.alias("issue")).filter("issue is not null")
+
+
+def first_holder(claims: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(id, holder): of the rows that hold a claimed platform id and are the same track, the least; claims without one have no row.
+
+    ``claims``: id, platform_id, isrc, title; ``catalog``: id, platform_id, isrc, title.
+    """
+    a = claims.filter(F.col("platform_id").isNotNull()).select("id", "platform_id", F.struct("isrc", "title").alias("x"))
+    b = catalog.filter(F.col("platform_id").isNotNull()).select(F.col("id").alias("other"), "platform_id", F.struct("isrc", "title").alias("y"))
+    return a.join(b, "platform_id").filter((F.col("id") != F.col("other")) & same_track("x", "y")).groupBy("id").agg(F.min("other").alias("holder"))

@@ -111,3 +111,18 @@ def search_all(q: str, catalog: DataFrame, artists: DataFrame, sets: DataFrame,
     order = [F.desc("relevance"), F.desc("popularity")]
     shown = top_k(every, ["kind"], [*order, F.col("id"), F.col("name")], per_kind, "n")
     return top_k(shown.drop("n"), [], [*order, F.col("place"), F.col("id").asc_nulls_last(), F.col("name")], per_kind * 6).select("kind", "id", "name", "relevance", "popularity", "rank")
+
+
+def random_one(rows: DataFrame, seed: int, without: int | None = None, ident: str = "id") -> DataFrame:
+    """One row, drawn by chance, not ``without``; none of an empty table."""
+    left = rows if without is None else rows.filter(F.col(ident) != without)
+    return left.orderBy(F.rand(seed)).limit(1)
+
+
+def taxonomy(nodes: DataFrame, query: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
+    """(id, label, total): a page of genre nodes whose label holds the query, by label; total counts them all."""
+    q = query.strip().lower()
+    found = nodes.filter(F.contains(F.lower("label"), F.lit(q))) if q else nodes
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    page = found.orderBy("label", "id").offset(offset).limit(limit)
+    return page.crossJoin(F.broadcast(total)).select("id", "label", "total")

@@ -82,3 +82,22 @@ def part_changes(sets: DataFrame) -> DataFrame:
 def source_url(url: Column, slug: Column, prefix: str) -> Column:
     """A lost address made anew from the slug."""
     return F.coalesce(url, F.concat(F.lit(prefix), slug))
+
+
+def flag_listing(flags: DataFrame, sets: DataFrame, status: str, limit: int, offset: int = 0) -> DataFrame:
+    """(id, title_a, title_b, confidence, member_titles, total): a page of flags of one status, surest first, unknown confidence last, then newest.
+
+    ``flags``: id, a, b, confidence, status, created_at, members (array of set ids or
+    null); ``sets``: id, title. A flag needs its first set; titles of members follow
+    their order, unknown ones as empty texts. total counts all flags of the status.
+    """
+    chosen = flags.filter(F.col("status") == status)
+    total = chosen.agg(F.count(F.lit(1)).alias("total"))
+    a, b = (sets.select(F.col("id").alias(n), F.col("title").alias(f"title_{n}")) for n in "ab")
+    order = [F.col("confidence").desc_nulls_last(), F.desc("created_at"), F.col("id")]
+    page = chosen.join(a, "a").join(b, "b", "left").orderBy(*order).offset(offset).limit(limit)
+    each = page.select("id", F.posexplode("members").alias("pos", "member")).join(sets.select(F.col("id").alias("member"), "title"), "member", "left")
+    entry = F.struct("pos", F.coalesce("title", F.lit("")).alias("title"))
+    titles = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["title"]).alias("member_titles"))
+    out = page.join(titles, "id", "left").crossJoin(F.broadcast(total))
+    return out.select("id", F.coalesce("title_a", F.lit("")).alias("title_a"), "title_b", "confidence", F.coalesce("member_titles", F.array().cast("array<string>")).alias("member_titles"), "total")

@@ -129,3 +129,6 @@ class SetMatching:
     part_title: float = 0.85
     part_overlap: float = 0.30
     unknown_duration_ms: int = 180_000
+
+#: Fixed value: how the digest of the generic cover starts.
+PLACEHOLDER_MD5 = "6e4c7dc9"

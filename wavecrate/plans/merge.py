@@ -69,3 +69,25 @@ def not_done(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def replace_children(children: DataFrame, fresh: DataFrame, parent: str) -> DataFrame:
     """Children of the parents in ``fresh`` are deleted and inserted anew."""
     return children.join(fresh.select(parent).distinct(), parent, "left_anti").unionByName(fresh.select(*children.columns))
+
+
+def purged(table: DataFrame, at: str, run: Column) -> DataFrame:
+    """Rows that the run at ``run`` touched; older ones and those without a date go."""
+    return table.filter(F.col(at) >= run)
+
+
+def fan_out(links: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(catalog_id, artist_id): new links of each source's tracks to the source's tokens, none that is there.
+
+    ``links``: catalog_id, artist_id; ``tokens``: source_id, artist_id.
+    """
+    wide = links.select("catalog_id", F.col("artist_id").alias("source_id")).join(tokens, "source_id").select("catalog_id", "artist_id").distinct()
+    return wide.join(links.select("catalog_id", "artist_id"), ["catalog_id", "artist_id"], "left_anti")
+
+
+def top_up(table: DataFrame, records: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Nulls filled from records (key, columns), and ``changed``: how many of the row's columns were."""
+    found = records.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    x = table.join(found, key, "left")
+    changed = sum(((F.col(c).isNull() & F.col(f"__{c}").isNotNull()).cast("int") for c in columns), F.lit(0))
+    return x.select(*[F.coalesce(c, f"__{c}").alias(c) if c in columns else F.col(c) for c in table.columns], changed.alias("changed"))
