@@ -171,9 +171,9 @@ def test_spans(spark, docs, corpus, none, monkeypatch):
     assert told == {d: len(c) for d, c in covered.items()}
     assert 1000 not in got and all(passage not in got[1000 + i]["text"] and f"Intro number {i}" in got[1000 + i]["text"] for i in range(1, 5))
     assert substring_dedup.repeated_spans(none).count() == 0
-    for hot, small in ((1, True), (1, False), (10**6, True)):
+    for hot, small in ((1, "hot covered"), (1, ""), (10**6, "hot covered"), (1, "repeated hot covered")):
         monkeypatch.setattr(substring_dedup, "HOT", hot)
-        monkeypatch.setattr(substring_dedup, "small", lambda df, small=small: small)
+        monkeypatch.setattr(substring_dedup, "small", lambda df, small=small: any(f"/{x}-" in df.inputFiles()[0] for x in small.split()))
         assert {r["doc_id"]: (r["n_removed"], r["removed"]) for r in substring_dedup.repeated_spans(df).collect()} == {d: (r["n_removed"], r["removed"]) for d, r in got.items()}
 
 
@@ -196,6 +196,32 @@ def test_passages_amid_long_sentences(spark):
     assert all(sum(w in passage for w in got[k]) <= 30 and sum(w.startswith("u") for w in got[k]) >= k for k in got)
 
 
+def test_cuts_follow_their_rule():
+    """Against the rule said word by word, over words with few and many equal hashes."""
+    r = random.Random(9)
+    for _ in range(300):
+        long = [[f"w{r.randrange(r.choice((2, 9, 1000)))}" for _ in range(r.randrange(17, 200))] for _ in range(r.randrange(1, 4))]
+        expected = []
+        for parts in long:
+            h = [xxhash.xxh32_intdigest(w) for w in parts]
+            ends = [0]
+            for i in range(len(h) - 1):
+                if i + 1 - ends[-1] >= substring_dedup.CAP or (all(x > h[i] for x in h[max(0, i - 4) : i]) and all(x >= h[i] for x in h[i : i + 5])):
+                    ends.append(i + 1)
+            expected.append([*ends[1:], len(h)])
+        assert substring_dedup.cuts(long) == expected
+
+
+def test_rows_of_one_id_keep_the_first_place(spark):
+    """Two texts of one id share a passage: it stays where it begins earlier; within a row the first of two copies stays."""
+    passage = "Every second thing was blue that day, and nobody had a word for it. They went on all the same, until the road ended."
+    rows = [(1, f"A start of a text. Then some. {passage}"), (1, f"A start. {passage}"), (2, f"{passage} Well, so much for that. {passage}"), (2, None)]
+    got = sorted((x["doc_id"], x["text"]) for x in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "A start of a text. Then some. "), (2, "Well, so much for that. ")]
+    alone = substring_dedup.repeated_spans(spark.createDataFrame(rows[2:], "doc_id long, text string")).collect()
+    assert [x["text"] for x in alone] == [f"{passage} Well, so much for that. "]
+
+
 def test_spans_reach_every_sentence_end():
     parts = substring_dedup.sentences(" ".join(f"One two three four five six seven eight nine {i}." for i in range(7)) + " End of it.")
     assert {a + n for a, n, _ in substring_dedup.spans(parts, 2, 20)} >= set(range(2, len(parts) + 1))
