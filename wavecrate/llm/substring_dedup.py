@@ -195,15 +195,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts, row, span = found.filter("not again"), ["id", "key"], ["hash", "hash2"]
     counts = firsts.groupBy(*span).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).filter("n > 1")
     counts = materialize(counts, "repeated-spans")
-    if small(counts):
-        places = firsts.join(F.broadcast(counts.select(*span, "first_id")), span)
+    hot = materialize(counts.filter(F.col("n") > HOT).select(*span, "first_id"), "hot-spans")
+    if small(hot):  # at most one in HOT spans, so places of one span never meet in one task
+        # One plan at every size: a broadcast of the others would only do for small tables.
+        rest = counts.filter(F.col("n") <= HOT).select(*span, "first_id").hint("merge")
+        places = firsts.join(F.broadcast(hot.select(*span)), span, "left_anti").join(rest, span)
+        places = places.unionByName(firsts.join(F.broadcast(hot), span))
     else:
-        hot = materialize(counts.filter(F.col("n") > HOT).select(*span, "first_id"), "hot-spans")
-        if small(hot):  # at most one in HOT spans, so places of one span never meet in one task
-            places = firsts.join(F.broadcast(hot.select(*span)), span, "left_anti").join(counts.filter(F.col("n") <= HOT).select(*span, "first_id"), span)
-            places = places.unionByName(firsts.join(F.broadcast(hot), span))
-        else:
-            places = firsts.join(counts.select(*span, "first_id"), span)
+        places = firsts.join(counts.select(*span, "first_id"), span)
     gone = found.filter("again").select(*row, "place").union(places.filter("id > first_id").select(*row, "place"))
     # Rows of one id: the first of their places stays.
     shared = firsts.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("greatest")).filter("least < greatest").select("id")
