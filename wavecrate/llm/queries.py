@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrate.llm import exact_dedup as exact
-from wavecrate.llm import decontam, htmltext, langid, packing, pii, secrets, sharding, simhash, substring_dedup
+from wavecrate.llm import decontam, htmltext, langid, packing, pii, runs, secrets, sharding, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,12 @@ def op10_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op12_lpf_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", runs.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return runs.digests(runs.periodic_runs(texts)).drop("row_key")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -72,6 +78,7 @@ QUERIES: dict[str, Query] = {
         op8_kd_tree_sharding,
         op9_nnls_packing,
         op10_kneser_ney_langid,
+        op12_lpf_word_runs,
     )
 }
 
