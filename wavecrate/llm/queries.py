@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrate.llm import exact_dedup as exact
-from wavecrate.llm import decontam, htmltext, langid, packing, pii, runs, secrets, sharding, simhash, substring_dedup
+from wavecrate.llm import decontam, htmltext, langid, packing, pii, runs, secrets, sharding, simhash, substring_dedup, variants, warc
+from wavecrate.llm.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,12 +61,21 @@ def op10_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op11_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.write_archive(_read(spark, sf_dir, "pages"), f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}")
+    return warc.read_archive(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_lpf_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     texts = docs.select("doc_id", runs.planted(F.col("doc_id"), F.col("text")).alias("text"))
     return runs.digests(runs.periodic_runs(texts)).drop("row_key")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.word_counts(_read(spark, sf_dir, "documents"), variants.misspelt))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -78,7 +89,9 @@ QUERIES: dict[str, Query] = {
         op8_kd_tree_sharding,
         op9_nnls_packing,
         op10_kneser_ney_langid,
+        op11_sharded_warc,
         op12_lpf_word_runs,
+        op13_spelling_variants,
     )
 }
 
