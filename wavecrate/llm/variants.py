@@ -17,18 +17,20 @@ word's are in both. Hence:
 A task gets whole posting lists. Under each it indexes all grams of the words
 that came before, and merges a word's postings by a heap; partners that are met
 often enough are verified. Lists of more than ``crowd`` words are not merged but
-posted again under two grams, then three: near words share so many. The pairs
-that a list yields are verified ones, so rows grow with true neighbours only.
+posted again under two grams, then three: near words share so many. A list yields
+verified pairs only, and those that meet in several lists from one of them.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import pyarrow as pa
 import xxhash
@@ -43,7 +45,7 @@ MARK = "\x00"
 #: The most frequent grams whose frequency orders a word's grams; others count as rarest. Bounds what is broadcast.
 RANKED_GRAMS = 50_000
 #: Words of a posting list that a task merges.
-CROWD = 3000
+CROWD = 20_000
 #: Grams that make a key, at most. Two words of five letters share four.
 MOST_GRAMS = 3
 
@@ -123,46 +125,68 @@ def prefix(word: str, rank: dict[str, int], c: int) -> list[tuple[int, str, int]
     return listed[:end]
 
 
-def posting_keys(word: str, rank: dict[str, int], c: int) -> set[int]:
+def posting_keys(word: str, rank: dict[str, int], c: int) -> list[int]:
     """The keys that the word is posted under: one of its first grams and its place from the start or the end, with ``c`` - 1 others of these grams wherever they stand."""
     chosen, size, out = prefix(word, rank, c), len(word), set()
-    held = Counter(gram for _, gram, _ in chosen)
+    held = Counter(gram for _, gram, _ in chosen) if c > 1 else {}
     for _, gram, at in chosen:
         others = sorted(g for g, k in held.items() for _ in range(min(k - (g == gram), c - 1)))
-        for some in set(combinations(others, c - 1)):
+        for some in set(combinations(others, c - 1)) if c > 1 else ((),):
             names = "\x01".join((gram, *some))
-            out |= {xxhash.xxh3_64_intdigest(f"{names}\x02<{at}"), xxhash.xxh3_64_intdigest(f"{names}\x02>{size - at}")}
-    return {k - (1 << 64) if k >> 63 else k for k in out}
+            out.add(xxhash.xxh3_64_intdigest(f"{names}\x02<{at}") >> 1)
+            out.add(xxhash.xxh3_64_intdigest(f"{names}\x02>{size - at}") >> 1)
+    return sorted(out)
 
 
-def merged(words: list[tuple[str, int]]) -> Iterator[tuple[str, int, str, int]]:
-    """The near pairs (word, n, word, n) of one posting list.
+def _has(numbers: list[int], number: int) -> bool:
+    at = bisect_left(numbers, number)
+    return at < len(numbers) and numbers[at] == number
 
-    Words come in order of length and meet those before them of the same length,
-    at the same place, and of one letter less, at the same place or one before.
+
+def merged(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Places of the near pairs of one posting list, which comes in order of length.
+
+    A word meets those before it of the same length, at the same place, and of one
+    letter less, at the same place or one before. It has all but ``Q`` of its grams
+    in common with a near one, so only the ``Q`` + 1 grams with the fewest postings
+    are merged, and what is met there is looked up in the other grams' postings
+    until it has missed too many.
     """
-    words = sorted(words, key=lambda w: (len(w[0]), w[0]))
     length, same, shorter = 0, {}, {}  # (gram, place) to the words that have it
-    for own, (word, n) in enumerate(words):
+    for own, word in enumerate(words):
         if len(word) != length:
             length, same, shorter = len(word), {}, same if len(word) == length + 1 else {}
-        held = list(enumerate(grams(word)))
-        lists = [x for at, gram in held for x in (same.get((gram, at)), shorter.get((gram, at)), shorter.get((gram, at - 1))) if x]
-        bound = len(held) - Q
-        if len(lists) >= bound:
-            times, last = 0, -1
-            for other in heapq.merge(*lists):
-                times, last = (times + 1 if other == last else 1), other
-                if times == bound and near(word, words[other][0]):
-                    yield word, n, *words[other]
-        for at, gram in held:
-            same.setdefault((gram, at), []).append(own)
-
-
-def _flat(pairs: Iterator[tuple[str, int, str, int]]) -> Iterator[tuple[str, str, int]]:
-    for a, m, b, n in pairs:
-        yield a, b, n
-        yield b, a, m
+        held = [(gram, at) for at, gram in enumerate(grams(word))]
+        if same or shorter:
+            found = []
+            for gram, at in held:
+                lists = [x for x in (same.get((gram, at)), shorter.get((gram, at)), shorter.get((gram, at - 1))) if x]
+                found.append((sum(map(len, lists)), at, lists))
+            found.sort()
+            if found[Q][0]:  # else more than Q grams have no posting at all
+                for other, times in groupby(heapq.merge(*[x for _, _, lists in found[: Q + 1] for x in lists])):
+                    missed = max(0, Q + 1 - sum(1 for _ in times))
+                    for _, _, lists in found[Q + 1 :]:
+                        missed += not any(_has(x, other) for x in lists)
+                        if missed > Q:
+                            break
+                    if missed <= Q and near(word, words[other]):
+                        yield own, other
+        for place in held:
+            same.setdefault(place, []).append(own)
+
+
+def _pairs(key: int, rows: list[tuple[str, int, bytes]]) -> Iterator[tuple[str, str, int]]:
+    """Both directions of the near pairs of a posting list that share no smaller key."""
+    rows.sort(key=lambda r: (len(r[0]), r[0]))
+    keys: dict[int, set[int]] = {}
+    for i, j in merged([word for word, _, _ in rows]):
+        for k in (i, j):
+            if k not in keys:
+                keys[k] = {x for (x,) in struct.iter_unpack("<q", rows[k][2])}
+        if min(keys[i] & keys[j]) == key:
+            yield rows[i][0], rows[j][0], rows[j][1]
+            yield rows[j][0], rows[i][0], rows[i][1]
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,16 +199,16 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["word", "near", "near_n"])
 
     for batch in batches:
-        for k, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if k != key:
                 if len(held) > 1:
-                    out.extend(_flat(merged(held)))
+                    out.extend(_pairs(key, held))
                 key, held = k, []
-            held.append((word, n))
+            held.append(row)
         if len(out) > 5000:
             yield told()
     if len(held) > 1:
-        out.extend(_flat(merged(held)))
+        out.extend(_pairs(key, held))
     yield told()
 
 
@@ -213,15 +237,19 @@ def near_words(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     def posted(c: int):
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(k, w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in posting_keys(w, rank.value, c)]
-                columns = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["key", "word", "n"])
+                rows = []
+                for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    keys = posting_keys(w, rank.value, c)
+                    packed = struct.pack(f"<{len(keys)}q", *keys)
+                    rows += [(k, w, n, packed) for k in keys]
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["key", "word", "n", "keys"])
 
         return post
 
     found, left = None, words
     for c in range(1, MOST_GRAMS + 1):
-        lists = materialize(left.select("word", "n").mapInArrow(posted(c), "key long, word string, n long"), "postings")
+        lists = left.select("word", "n").mapInArrow(posted(c), "key long, word string, n long, keys binary")
         hot = None
         if c < MOST_GRAMS:
             hot = materialize(lists.groupBy("key").count().filter(F.col("count") > crowd).select("key"), "crowded-postings")
@@ -231,7 +259,7 @@ def near_words(words: DataFrame, crowd: int = CROWD) -> DataFrame:
             side = F.broadcast(hot) if small(hot) else hot
             some = lists.join(side, "key", "left_anti")
             left = materialize(lists.join(side, "key", "left_semi").select("word", "n").distinct(), "crowded-words")
-        pairs = some.select("key", "word", "n").repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "word string, near string, near_n long")
+        pairs = some.select("key", "word", "n", "keys").repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "word string, near string, near_n long")
         found = pairs if found is None else found.unionByName(pairs)
         if hot is None:
             break
