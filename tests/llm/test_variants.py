@@ -69,8 +69,18 @@ def test_near_words_share_a_key(word, at, letter, insert, c):
     if len(other) >= 4 and one_edit(word, other):
         assert variants.near(word, other) and variants.near(other, word)
         for rank in ({}, {"aba": 5, "bab": 3}):
-            assert set(variants.posting_keys(word, rank, c)) & set(variants.posting_keys(other, rank, c))
-        assert list(variants.merged(sorted([word, other], key=len))) == [(1, 0)]
+            assert variants.postings(word, rank, c) & variants.postings(other, rank, c)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text("abé", min_size=4, max_size=8), max_size=12), st.booleans())
+def test_pairs_of_a_list(words, long):
+    words = [w * 7 if long and i % 3 == 0 else w for i, w in enumerate(sorted(words))]
+    words = sorted(set(words) | ({words[0] + "a", "b" + words[0]} if words else set()))
+    rows = [(k, w, 1, b"") for k in (1, 2) for w in words]
+    want = sorted((a, b) for a in words for b in words if one_edit(a, b))
+    got = sorted((a, b) for a, b, _ in variants.Lists(rows, False).pairs()) if rows else []
+    assert got == sorted(want * 2)
 
 
 def test_chains_of_forms(spark):

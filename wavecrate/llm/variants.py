@@ -14,24 +14,23 @@ word's are in both. Hence:
 * length: a posting list is read in order of length, and only words of the same
   length or one letter less are met.
 
-A task gets whole posting lists. Under each it indexes all grams of the words
-that came before, and merges a word's postings by a heap; partners that are met
-often enough are verified. Lists of more than ``crowd`` words are not merged but
-posted again under two grams, then three: near words share so many. A list yields
-verified pairs only, and those that meet in several lists from one of them.
+A task gets whole posting lists and works on many of them at once, sorted by length:
+pairs of a list stay if they share enough grams at their places, and are verified.
+(Merging by a heap in Python took four times as long.) Lists of more than ``crowd``
+words are posted again under two grams, then three: near words share so many. A list
+yields verified pairs only, and those that meet in several lists from one of them.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import struct
 import zlib
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import combinations, groupby
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -44,8 +43,10 @@ Q = 3
 MARK = "\x00"
 #: The most frequent grams whose frequency orders a word's grams; others count as rarest. Bounds what is broadcast.
 RANKED_GRAMS = 50_000
-#: Words of a posting list that a task merges.
-CROWD = 20_000
+#: Words of a posting list that are compared as they are, and rows of lists that are worked on together.
+CROWD, AT_ONCE = 5000, 40_000
+#: Letters of a word that are compared in arrays; longer words are compared one by one.
+WIDE = 48
 #: Grams that make a key, at most. Two words of five letters share four.
 MOST_GRAMS = 3
 
@@ -118,98 +119,126 @@ def prefix(word: str, rank: dict[str, int], c: int) -> list[tuple[int, str, int]
 
     Of the grams that one edit leaves untouched, the c rarest stand among these in both words.
     """
-    listed = sorted((rank.get(gram, 0), gram, at) for at, gram in enumerate(grams(word)))
+    listed = sorted([(rank.get(gram, 0), gram, at) for at, gram in enumerate(grams(word))])
     end = Q + c
     while end < len(listed) and listed[end][1] == listed[end - 1][1]:
         end += 1
     return listed[:end]
 
 
-def posting_keys(word: str, rank: dict[str, int], c: int) -> list[int]:
-    """The keys that the word is posted under: one of its first grams and its place from the start or the end, with ``c`` - 1 others of these grams wherever they stand."""
+def _number(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
+def postings(word: str, rank: dict[str, int], c: int) -> set[int]:
+    """The lists that the word is posted in: each of its first grams by its place from the start, and from the end, with ``c`` - 1 others of these grams wherever they stand."""
     chosen, size, out = prefix(word, rank, c), len(word), set()
     held = Counter(gram for _, gram, _ in chosen) if c > 1 else {}
     for _, gram, at in chosen:
         others = sorted(g for g, k in held.items() for _ in range(min(k - (g == gram), c - 1)))
         for some in set(combinations(others, c - 1)) if c > 1 else ((),):
             names = "\x01".join((gram, *some))
-            out.add(xxhash.xxh3_64_intdigest(f"{names}\x02<{at}") >> 1)
-            out.add(xxhash.xxh3_64_intdigest(f"{names}\x02>{size - at}") >> 1)
-    return sorted(out)
+            out |= {_number(f"{names}\x02<{at}"), _number(f"{names}\x02>{size - at}")}
+    return out
+
 
+class Lists:
+    """Whole posting lists, worked on together: rows (key, word, n, keys of the word) in order of key and length.
 
-def _has(numbers: list[int], number: int) -> bool:
-    at = bisect_left(numbers, number)
-    return at < len(numbers) and numbers[at] == number
+    Row i is compared with the rows 1, 2, ... after it, as long as the list goes on and
+    lengths differ by one at most, for all i at once. A pair stays if the bit sets of its
+    letter pairs differ in four at most (an edit takes two away and brings two), if it
+    shares enough grams at their places, and if it is one edit apart.
+    """
 
+    def __init__(self, rows: list[tuple[int, str, int, bytes]], unique: bool):
+        rows.sort(key=lambda r: (r[0], len(r[1])))
+        self.rows, self.unique = rows, unique
+        self.key = np.fromiter((r[0] for r in rows), np.int64, len(rows))
+        self.size = np.fromiter((len(r[1]) for r in rows), np.int64, len(rows))
+        width = int(min(WIDE, self.size.max())) + 2
+        # Two marks behind each word make all its grams whole; those in front are the same for all.
+        self.letters = np.array([r[1][: width - 2] for r in rows], f"<U{width}").view(np.uint32).reshape(len(rows), width)
+        two = self.letters[:, :-1] * np.uint32(2654435761) + self.letters[:, 1:] * np.uint32(40503)
+        self.sets = np.bitwise_or.reduce(np.left_shift(np.uint64(1), (two >> 8).astype(np.uint64) & np.uint64(63)), axis=1)
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        live, held, n = np.arange(len(self.rows)), [], 0
+        step = 0
+        while len(live):
+            step += 1
+            live = live[live < len(self.rows) - step]
+            after = live + step
+            go_on = (self.key[live] == self.key[after]) & (self.size[after] - self.size[live] <= 1)
+            live = live[go_on]
+            some = live[np.bitwise_count(self.sets[live] ^ self.sets[live + step]) <= 4]
+            if len(some):
+                held.append((some, some + step))
+                n += len(some)
+            if n > 100_000:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs are one edit apart; j is as long as i, or one letter longer."""
+        a, b, longer = self.letters[i], self.letters[j], self.size[j] - self.size[i]
+        same = a == b
+        # Of the longer word's n + 2 grams all but three must stand in the other one, at the same place or one before.
+        shifted = np.zeros_like(same)
+        shifted[:, 1:] = a[:, :-1] == b[:, 1:]
+        gram = lambda x: x[:, 2:] & x[:, 1:-1] & x[:, :-2]
+        inner = np.arange(a.shape[1] - 2)[None, :] < (self.size[j] - 2)[:, None]
+        common = ((gram(same) | (gram(shifted) & (longer == 1)[:, None])) & inner).sum(1)
+        enough = common >= self.size[j] - 2 - Q
+        lead = np.logical_and.accumulate(same, axis=1).sum(1)
+        tail = np.logical_and.accumulate(shifted[:, :0:-1], axis=1).sum(1) - (a.shape[1] - 1 - self.size[i])
+        out = enough & np.where(longer == 0, (~same).sum(1) == 1, lead + tail >= self.size[i])
+        wide = np.flatnonzero(self.size[j] > WIDE)
+        out[wide] = [near(self.rows[x][1], self.rows[y][1]) for x, y in zip(i[wide].tolist(), j[wide].tolist(), strict=True)]
+        return out
+
+    def pairs(self) -> Iterator[tuple[str, str, int]]:
+        """Both directions of the near pairs; where keys are unique to lists, only from the least list that both are posted in."""
+        for i, j in self.candidates():
+            use = self.near(i, j)
+            for x, y in zip(i[use].tolist(), j[use].tolist(), strict=True):
+                k, a, m, mine = self.rows[x]
+                _, b, n, theirs = self.rows[y]
+                if not self.unique or least_common(mine, theirs) == k:
+                    yield a, b, n
+                    yield b, a, m
+
+
+def least_common(a: bytes, b: bytes) -> int:
+    """The least of the numbers that two packed lists share."""
+    size = len(a) // 8
+    theirs = set(struct.unpack(f"<{len(b) // 8}q", b))
+    return next(k for k in struct.unpack(f"<{size}q", a) if k in theirs)
+
+
+def _merge(unique: bool):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Near words of the posting lists of a partition; its rows come sorted by key, and are worked on in whole lists."""
+        held: list[tuple[int, str, int, bytes]] = []
+
+        def told(rows: list[tuple[int, str, int, bytes]]) -> pa.RecordBatch:
+            columns = list(zip(*Lists(rows, unique).pairs(), strict=True)) if rows else []
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns or [()] * 3, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["word", "near", "near_n"])
 
-def merged(words: list[str]) -> Iterator[tuple[int, int]]:
-    """Places of the near pairs of one posting list, which comes in order of length.
+        for batch in batches:
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            if len(held) >= AT_ONCE:
+                cut = len(held)
+                while cut and held[cut - 1][0] == held[-1][0]:
+                    cut -= 1
+                if cut:
+                    yield told(held[:cut])
+                    held = held[cut:]
+        yield told(held)
 
-    A word meets those before it of the same length, at the same place, and of one
-    letter less, at the same place or one before. It has all but ``Q`` of its grams
-    in common with a near one, so only the ``Q`` + 1 grams with the fewest postings
-    are merged, and what is met there is looked up in the other grams' postings
-    until it has missed too many.
-    """
-    length, same, shorter = 0, {}, {}  # (gram, place) to the words that have it
-    for own, word in enumerate(words):
-        if len(word) != length:
-            length, same, shorter = len(word), {}, same if len(word) == length + 1 else {}
-        held = [(gram, at) for at, gram in enumerate(grams(word))]
-        if same or shorter:
-            found = []
-            for gram, at in held:
-                lists = [x for x in (same.get((gram, at)), shorter.get((gram, at)), shorter.get((gram, at - 1))) if x]
-                found.append((sum(map(len, lists)), at, lists))
-            found.sort()
-            if found[Q][0]:  # else more than Q grams have no posting at all
-                for other, times in groupby(heapq.merge(*[x for _, _, lists in found[: Q + 1] for x in lists])):
-                    missed = max(0, Q + 1 - sum(1 for _ in times))
-                    for _, _, lists in found[Q + 1 :]:
-                        missed += not any(_has(x, other) for x in lists)
-                        if missed > Q:
-                            break
-                    if missed <= Q and near(word, words[other]):
-                        yield own, other
-        for place in held:
-            same.setdefault(place, []).append(own)
-
-
-def _pairs(key: int, rows: list[tuple[str, int, bytes]]) -> Iterator[tuple[str, str, int]]:
-    """Both directions of the near pairs of a posting list that share no smaller key."""
-    rows.sort(key=lambda r: (len(r[0]), r[0]))
-    keys: dict[int, set[int]] = {}
-    for i, j in merged([word for word, _, _ in rows]):
-        for k in (i, j):
-            if k not in keys:
-                keys[k] = {x for (x,) in struct.iter_unpack("<q", rows[k][2])}
-        if min(keys[i] & keys[j]) == key:
-            yield rows[i][0], rows[j][0], rows[j][1]
-            yield rows[j][0], rows[i][0], rows[i][1]
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near words of each posting list; the rows come sorted by key, and a list may go on in the next batch."""
-    key, held, out = None, [], []
-
-    def told() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        out.clear()
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["word", "near", "near_n"])
-
-    for batch in batches:
-        for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if k != key:
-                if len(held) > 1:
-                    out.extend(_pairs(key, held))
-                key, held = k, []
-            held.append(row)
-        if len(out) > 5000:
-            yield told()
-    if len(held) > 1:
-        out.extend(_pairs(key, held))
-    yield told()
+    return merge
 
 
 def _ranks(words: DataFrame) -> dict[str, int]:
@@ -239,10 +268,10 @@ def near_words(words: DataFrame, crowd: int = CROWD) -> DataFrame:
             for batch in batches:
                 rows = []
                 for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    keys = posting_keys(w, rank.value, c)
-                    packed = struct.pack(f"<{len(keys)}q", *keys)
+                    keys = sorted(postings(w, rank.value, c))
+                    packed = struct.pack(f"<{len(keys)}q", *keys) if c == 1 else b""
                     rows += [(k, w, n, packed) for k in keys]
-                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["key", "word", "n", "keys"])
 
         return post
@@ -259,7 +288,7 @@ def near_words(words: DataFrame, crowd: int = CROWD) -> DataFrame:
             side = F.broadcast(hot) if small(hot) else hot
             some = lists.join(side, "key", "left_anti")
             left = materialize(lists.join(side, "key", "left_semi").select("word", "n").distinct(), "crowded-words")
-        pairs = some.select("key", "word", "n", "keys").repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "word string, near string, near_n long")
+        pairs = some.select("key", "word", "n", "keys").repartition("key").sortWithinPartitions("key").mapInArrow(_merge(c == 1), "word string, near string, near_n long")
         found = pairs if found is None else found.unionByName(pairs)
         if hot is None:
             break
