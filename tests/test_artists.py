@@ -122,8 +122,14 @@ def test_exclusions_and_intervals(spark):
     assert rows(embeddings.excluded(positives, features, "cross_artist")) == [(1, 3), (1, 4), (2, 3)]
     assert rows(embeddings.excluded(positives, features, "cross_label")) == [(1, 4), (2, 3)]
     assert rows(embeddings.excluded(positives, features, "cross_release")) == [(1, 4)]
-    low, high = embeddings.bootstrap(spark.range(500).select((F.col("id") % 10).cast("double").alias("v")), "v")
-    assert low < 4.5 < high and high - low < 1
+    v = spark.range(500).select("id", (F.col("id") % 10).cast("double").alias("v"), (F.col("id") % 2).alias("s"))
+    (row,) = embeddings.bootstrap(v, "id", "v").collect()
+    # The interval of a mean of 500 values with a standard deviation of 2.87.
+    assert row["n"] == 500 and row["mean"] == 4.5 and row["high"] - row["low"] == pytest.approx(2 * 1.96 * 2.872 / 500**0.5, rel=0.15) and row["low"] < 4.5 < row["high"]
+    two = embeddings.bootstrap(v, "id", "v", ["s"], 200).orderBy("s").collect()
+    assert [(x["s"], x["n"], x["mean"]) for x in two] == [(0, 250, 4.0), (1, 250, 5.0)] and all(x["low"] < x["mean"] < x["high"] for x in two)
+    p = embeddings.permuted(v, "id").collect()
+    assert sorted(x["id"] for x in p) == sorted(x["as_id"] for x in p) == list(range(500)) and sum(x["id"] == x["as_id"] for x in p) < 20
     a = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.5)], "seed int, id int, score double")
     b = spark.createDataFrame([(1, 2, 0.1), (1, 3, 0.5)], "seed int, id int, score double")
     assert rows(embeddings.fused([a, b])) == [(1, 2, 3), (1, 3, 3)]

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from wavecrate.plans import merge
+from wavecrate.plans import band_join as band_join_module
+from wavecrate.plans import cooc, merge
 from wavecrate.plans.band_join import band_join
 from wavecrate.plans.closure import ancestors, ancestors_sql
-from wavecrate.plans.cooc import pair_counts, seed_counts
+from wavecrate.plans.cooc import overlapping, pair_counts, seed_counts
+from wavecrate.plans.quantiles import exact_percentiles
 from wavecrate.plans.ranking import global_rank
 from wavecrate.plans.text_joins import containment_join, token_join
 from wavecrate.plans.topk import one_per_album, top_k
@@ -29,6 +35,75 @@ def test_band_join(spark):
     assert got == want
 
 
+def test_band_join_deals_a_common_value(spark):
+    """A third of all rows at one tempo: the cells, and so the tasks, have about as many pairs to look at."""
+    r = random.Random(6)
+    data = [(i, 128.0 if i % 3 == 0 else round(r.uniform(60, 200), 2)) for i in range(6000)]
+    df = spark.createDataFrame(data, "id int, bpm double")
+    for cells in (1, 24):
+        got = band_join(df, df, "bpm", 0.5, cells=cells)
+        counts = Counter(x for _, x in data)
+        values = sorted(counts)
+        want = sum(counts[a] * counts[b] for a in values for b in values[bisect_left(values, a - 0.5) : bisect_right(values, a + 0.5)])
+        assert got.count() == want
+    bounds = band_join_module._bounds(df, "bpm", 256)
+    side = lambda name: band_join_module._range(df, F.col("bpm"), bounds, "range")
+    grid = band_join_module._grid(side("l"), side("r"), 16 * 8)
+    ranges = Counter(row["range"] for row in side("l").collect())
+    cells_ = [(k, i, j, ranges[k] ** 2 / (a * b)) for k, (a, b) in grid.items() for i in range(a) for j in range(b)]
+    task = F.pmod(F.hash("range", "i", "j"), F.lit(8))  # as a shuffle to 8 tasks deals them
+    work = sorted(r["w"] for r in spark.createDataFrame(cells_, "range int, i int, j int, w double").groupBy(task).agg(F.sum("w").alias("w")).collect())
+    assert max(ranges.values()) >= 2000 and len(work) == 8 and work[-1] <= 2 * work[4]
+    empty = df.limit(0)
+    assert band_join(empty, df, "bpm", 1.0).count() == band_join(df, empty, "bpm", 1.0).count() == 0
+
+
+def test_overlapping(spark):
+    r = random.Random(9)
+    data = [(g, i) for i in range(60) for g in {r.randrange(25) for _ in range(r.randint(1, 9))} | {99}] + [(None, 1), (3, None)]
+    held = {i: {g for g, j in data if j == i and g is not None} for i in range(60)}
+    df = spark.createDataFrame(data + data[:50], "g int, x int")
+    for least in (1, 2, 3):
+        want = sorted((a, b, len(held[a] & held[b])) for a in held for b in held if a < b and len(held[a] & held[b]) >= least)
+        assert rows(overlapping(df, "g", "x", least)) == want
+
+
+def test_overlapping_leaves_the_common_group_out(spark):
+    """One item in every set: twice the sets give twice the candidates, not four times."""
+    made = []
+    for n in (400, 800):
+        df = spark.range(n).select(F.col("id").alias("x"), F.explode(F.array(F.lit(-1), F.lit(-2), F.col("id"), F.floor(F.col("id") / 2) + 10**6, F.floor(F.col("id") / 2) + 2 * 10**6)).alias("g"))
+        assert overlapping(df, "g", "x", 3).count() == n // 2
+        posted = cooc._posted(cooc._lists(df, "g", "x", 3), "g", "x", 3).groupBy("g").count()
+        made.append(posted.agg(F.sum(F.col("count") * F.col("count"))).first()[0])
+    assert made[1] == 2 * made[0]
+
+
+def test_exact_percentiles(spark):
+    r = random.Random(3)
+    data = [(k, v) for k in ("a", "b", None) for v in [r.choice([1.0, 2.5, r.uniform(-5, 5)]) for _ in range(r.randint(1, 400))] + [None]]
+    data += [("ties", 7.0)] * 500 + [("one", 3.0), ("none", None)] + [("wide", float(10**k)) for k in range(-20, 20)]
+    df = spark.createDataFrame(data, "k string, v double")
+    at = [0.0, 0.05, 0.5, 0.9, 1.0]
+    for enough in (5, 2000):
+        got = {(row["k"], row["at"]): row["value"] for row in exact_percentiles(df, ["k"], "v", at, bins=4, enough=enough).collect()}
+        want = {(k, q): float(np.percentile([v for key, v in data if key == k and v is not None], 100 * q)) for k in ("a", "b", None, "ties", "one", "wide") for q in at}
+        assert got == pytest.approx(want)
+    whole = exact_percentiles(df, [], "v", [0.5], bins=8, enough=20).collect()
+    assert [x["value"] for x in whole] == pytest.approx([float(np.percentile([v for _, v in data if v is not None], 50))])
+    assert exact_percentiles(df.limit(0), ["k"], "v", at).count() == 0
+
+
+def test_containment_by_the_rarest_gram(spark):
+    """All names begin alike, so their beginnings tell nothing; no key makes most of the candidates."""
+    titles = spark.createDataFrame([(i, f"the band {i:03d} live, the best of the {i % 7}") for i in range(300)] + [(900, "Nob"), (901, "xx")], "id int, title string")
+    names = spark.createDataFrame([(f"the band {i:03d}",) for i in range(100)] + [("never seen here",), ("NOB",)], "name string")
+    told: dict = {}
+    got = rows(containment_join(titles, names, "title", "name", told), "id", "name")
+    assert got == [(i, f"the band {i:03d}") for i in range(100)] + [(900, "NOB")]
+    assert told["candidates"] <= 3000 and told["largest_share"] <= 0.2
+
+
 def test_closure_ends_in_cycles(spark):
     nodes = spark.createDataFrame([(i, str(i)) for i in range(1, 6)], "id int, label string")
     edges = spark.createDataFrame([(1, 2, "parent"), (2, 3, "parent"), (3, 1, "parent"), (1, 3, "parent"), (4, 1, "influence")], "child_id int, parent_id int, type string")

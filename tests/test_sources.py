@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavecrate.operators import embeddings
-from wavecrate.sources import files, html, playlists
+from wavecrate.sources import files, html, listing, playlists
 
 
 def test_taxonomy(spark, tmp_path):
@@ -52,6 +52,74 @@ def test_playlists(spark, tmp_path):
         spark.read.format("playlists").option("source", "nope").option("path", str(tmp_path)).load().collect()
 
 
+class Shown:
+    """A listing that changes: entries by falling timestamp, so many a page."""
+
+    def __init__(self, folder, size):
+        self.folder, self.size, self.entries = folder, size, []
+
+    def show(self, entries):
+        self.entries = sorted(self.entries + entries, key=lambda e: (e["added_on"] or "~"), reverse=True)
+        for old in self.folder.glob("page=*/*.json"):
+            old.unlink()
+        for n in range(0, len(self.entries), self.size):
+            page = self.folder / f"page={n // self.size}"
+            page.mkdir(parents=True, exist_ok=True)
+            (page / "a.json").write_text("".join(json.dumps(e) + "\n" for e in self.entries[n : n + self.size]))
+
+    def drop(self, ids):
+        self.entries = [e for e in self.entries if e["id"] not in ids]
+        self.show([])
+
+
+def stamped(ids, day):
+    """Entries of one day; every third shares its timestamp with the one before, and one has none."""
+    return [{"id": i, "added_on": None if i % 50 == 33 else f"2024-01-{day:02d}T10:{(i - (i % 3 == 2)) % 60:02d}:00"} for i in ids]
+
+
+def test_listing_is_resumed(spark, tmp_path):
+    """A stream is stopped and resumed while entries are added on top and some that were taken go away."""
+    spark.dataSource.register(listing.Listing)
+    shown = Shown(tmp_path / "listing", 7)
+    shown.show(stamped(range(40), 5) + stamped(range(100, 140), 6))
+    stream = spark.readStream.format("newest_first").option("limit", 25).load(str(tmp_path / "listing"))
+
+    def run():
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return [json.loads(r["entry"])["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+
+    first = run()
+    assert 25 <= len(first) <= 26 and len(set(first)) == len(first) and min(first) >= 100
+    shown.show(stamped(range(200, 210), 7))
+    second = run()
+    assert set(range(200, 210)) <= set(second) and 50 <= len(second) <= 52
+    shown.drop(set(second[:20]))
+    for _ in range(6):
+        last = run()
+    assert sorted(last) == sorted(e["id"] for e in stamped([*range(40), *range(100, 140), *range(200, 210)], 5) if e["added_on"])
+
+
+def test_listing_positions(tmp_path):
+    shown = Shown(tmp_path, 4)
+    shown.show(stamped(range(30), 5))
+    pages = listing.Pages(str(tmp_path), "added_on")
+    reader = listing.ListingStreamReader(pages, 5)
+    zero = reader.initialOffset()
+    one = reader.latestOffset()
+    assert one == reader.latestOffset() != zero  # the same until a batch moves the position
+    taken = [e for part in reader.partitions(zero, one) for e in reader.read(part)]
+    assert 5 <= len(taken) <= 6 and [t for t, _ in taken] == sorted((t for t, _ in taken), reverse=True)
+    again = listing.ListingStreamReader(pages, 5)  # a restart: the position comes from the log
+    assert again.partitions(one, one) == [] and again.latestOffset() == reader.latestOffset()
+    parts = again.partitions(one, again.latestOffset())
+    before = [e for part in parts for e in again.read(part)]
+    shown.show(stamped(range(60, 71), 9))  # everything moves down three pages after the batch was planned
+    assert [e for part in parts for e in again.read(part)] == before
+    assert listing.resume_page(3, None, "x") == 0 and listing.resume_page(3, "a", "b") == 0 and listing.resume_page(3, "c", "b") == 3 and listing.resume_page(0, "c", "b") == 0
+    assert listing.ListingStreamReader(listing.Pages(str(tmp_path / "none"), "added_on"), 5).latestOffset() == zero
+
+
 def test_embedded_items(spark):
     state = lambda data: {"state": {"data": data}}
     body = {"props": {"pageProps": {"dehydratedState": {"queries": [state({"user": 1}), state({"releases": [{"id": i} for i in range(12)]}), state({"tracks": [{"id": 99}]})]}}}}

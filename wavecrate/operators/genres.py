@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrate.params import PILLARS
+from wavecrate.plans.quantiles import exact_percentiles
 from wavecrate.plans.topk import top_k
 
 
@@ -17,8 +18,12 @@ def exploded(catalog: DataFrame) -> DataFrame:
 def genre_stats(catalog: DataFrame) -> DataFrame:
     """(genre, tracks, artists, bpm_low, bpm_high): exact continuous percentiles of the tempo, rounded half to even, 0 without a tempo."""
     each = exploded(catalog)
-    low, high = (F.coalesce(F.rint(F.percentile("bpm", p)), F.lit(0.0)).cast("int") for p in (0.05, 0.95))
-    return each.groupBy("genre").agg(F.countDistinct("id").alias("tracks"), F.countDistinct(F.lower("artist")).alias("artists"), low.alias("bpm_low"), high.alias("bpm_high"))
+    counts = each.groupBy("genre").agg(F.countDistinct("id").alias("tracks"), F.countDistinct(F.lower("artist")).alias("artists"))
+    ends = exact_percentiles(each, ["genre"], "bpm", [0.05, 0.95])
+    ends = ends.groupBy("genre").agg(*[F.max(F.when(F.col("at") == p, F.rint("value"))).cast("int").alias(name) for p, name in ((0.05, "bpm_low"), (0.95, "bpm_high"))])
+    ends = ends.withColumnRenamed("genre", "__genre")
+    out = counts.join(ends, F.col("genre").eqNullSafe(F.col("__genre")), "left").drop("__genre")
+    return out.select("genre", "tracks", "artists", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("bpm_low", "bpm_high")])
 
 
 def top_genres(tracks: DataFrame, group: str, cap: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wavecrate.functions.text import token_jaccard, track_title
 from wavecrate.params import NOT_FOUND, SetMatching
+from wavecrate.plans.cooc import overlapping
 from wavecrate.plans.topk import one_per
 from wavecrate.scratch import materialize
 from wavecrate.shipping import ship
@@ -96,14 +97,16 @@ def set_pairs(sets: DataFrame, members: DataFrame, p: SetMatching = SetMatching(
     sizes = held.groupBy("set_id").agg(F.count(F.lit(1)).alias("len"), F.min_by("mtid", "position").alias("opener"))
     first = held.groupBy("set_id", "mtid").agg(F.min("position").alias("pos"))
     df = first.groupBy("mtid").agg(F.count(F.lit(1)).alias("df"))
-    first = first.join(df, "mtid").withColumn("w", 1 / F.log2(1 + F.greatest("df", F.lit(1)).cast("double"))).select("set_id", "mtid", "pos", "w")
+    first = materialize(first.join(df, "mtid").withColumn("w", 1 / F.log2(1 + F.greatest("df", F.lit(1)).cast("double"))).select("set_id", "mtid", "pos", "w"), "first-places")
     mass = first.groupBy("set_id").agg(F.sum("w").alias("mass"))
     a = first.select(F.col("set_id").alias("a"), "mtid", F.col("pos").alias("pos_a"), "w")
     b = first.select(F.col("set_id").alias("b"), "mtid", F.col("pos").alias("pos_b"))
-    shared = a.join(b, "mtid").filter("a < b")
+    # Only pairs with enough in common are spelled out, track by track.
+    pairs = materialize(overlapping(first, "mtid", "set_id", p.min_shared).select("a", "b"), "overlapping-sets")
+    shared = pairs.join(a, "a").join(b, ["b", "mtid"])
     # Everything about a pair sits in one partition from here: count, ranks and sums need no further shuffle.
     by = Window.partitionBy("a", "b")
-    ranked = shared.withColumn("n", F.count(F.lit(1)).over(by)).filter(F.col("n") >= p.min_shared)
+    ranked = shared.withColumn("n", F.count(F.lit(1)).over(by))
     ranked = ranked.withColumn("d", F.row_number().over(by.orderBy("pos_a", "mtid")) - F.row_number().over(by.orderBy("pos_b", "mtid")))
     n = F.max("n").cast("double")
     pairs = ranked.groupBy("a", "b").agg(F.max("n").alias("shared"), F.sum("w").alias("w"), (1 - 6 * F.sum(F.col("d") * F.col("d")) / (n * (n * n - 1))).alias("order_corr"))

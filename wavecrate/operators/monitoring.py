@@ -51,4 +51,5 @@ def snapshot(catalog: DataFrame, artists: DataFrame, not_found: str = "NOT_FOUND
 
 
 def retained(series: DataFrame, at: str, as_of: Column, days: int = 396) -> DataFrame:
-    return series.filter(F.col(at) >= F.date_sub(as_of, days))
+    """The rows of the last ``days`` before ``as_of``, to the second; rows without a time go."""
+    return series.filter(F.col(at) >= as_of - F.make_dt_interval(F.lit(days)))

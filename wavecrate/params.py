@@ -31,16 +31,16 @@ ROOT_PILLARS = {
 }
 OTHER_PILLAR = "autres"
 NOT_FOUND = "NOT_FOUND"
-#: Minor and major tonics by wheel number, each with the names it goes by.
-CAMELOT_MINOR = (
-    ("Ab", "G#"), ("Eb", "D#"), ("Bb", "A#"), ("F",), ("C",), ("G",),
-    ("D",), ("A",), ("E", "Fb"), ("B", "Cb"), ("F#", "Gb"), ("C#", "Db"),
-)
-CAMELOT_MAJOR = (
-    ("B", "Cb"), ("F#", "Gb"), ("Db", "C#"), ("Ab", "G#"), ("Eb", "D#"), ("Bb", "A#"),
-    ("F", "E#"), ("C",), ("G",), ("D",), ("A",), ("E", "Fb"),
-)
-CAMELOT = {f"{t} {mode}": f"{n}{side}" for mode, side, wheel in (("Minor", "A", CAMELOT_MINOR), ("Major", "B", CAMELOT_MAJOR)) for n, names in enumerate(wheel, 1) for t in names}
+#: Key names and their wheel keys.
+CAMELOT = {
+    "Ab Minor": "1A", "G# Minor": "1A", "Eb Minor": "2A", "D# Minor": "2A", "Bb Minor": "3A", "A# Minor": "3A",
+    "F Minor": "4A", "C Minor": "5A", "G Minor": "6A", "D Minor": "7A", "A Minor": "8A", "E Minor": "9A",
+    "Fb Minor": "9A", "B Minor": "10A", "Cb Minor": "10A", "F# Minor": "11A", "Gb Minor": "11A", "C# Minor": "12A",
+    "Db Minor": "12A", "B Major": "1B", "Cb Major": "1B", "F# Major": "2B", "Gb Major": "2B", "Db Major": "3B",
+    "C# Major": "3B", "Ab Major": "4B", "G# Major": "4B", "Eb Major": "5B", "D# Major": "5B", "Bb Major": "6B",
+    "A# Major": "6B", "F Major": "7B", "E# Major": "7B", "C Major": "8B", "G Major": "9B", "D Major": "10B",
+    "A Major": "11B", "E Major": "12B", "Fb Major": "12B",
+}
 
 
 @dataclass(frozen=True)

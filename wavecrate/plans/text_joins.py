@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavecrate.scratch import materialize
+
 GRAM = 3
 
 
-def containment_join(texts: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
-    """Pairs where the text holds the name, both lower-cased, underscores as spaces; names under three characters match nothing.
+def _grams(text: Column) -> Column:
+    """The distinct grams of a text; none of one that is shorter."""
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substr(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def rarest_grams(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, gram, n): of each name (``names``: name) the gram that the fewest texts (``texts``: gram, one row each) have; names with a gram that none has are left out."""
+    counted = texts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    each = names.select("name", F.explode(_grams(F.col("name"))).alias("gram")).join(counted, "gram", "left")
+    # No text holds a name with a gram that no text has.
+    best = each.groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x"))
+    return best.filter("x.n > 0").select("name", "x.gram", "x.n")
+
+
+def containment_join(texts: DataFrame, names: DataFrame, text: str, name: str, told: dict[str, float] | None = None) -> DataFrame:
+    """Pairs where the text holds the name, both lower-cased, underscores of the text as spaces; names under three characters match nothing.
 
-    A name's first three characters must be among the text's: an equi-join, checked after.
+    A name meets the texts that have its rarest three characters, by counted
+    frequencies, and is compared there; so a beginning that many names share is no
+    key. ``told`` gets the candidates and the share of them that the largest key makes.
     """
     low = F.lower(F.translate(text, "_", " "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substr(low, i, F.lit(GRAM))))
-    left = texts.filter(F.length(text) >= GRAM).select("*", low.alias("__low"), F.explode(grams).alias("__gram"))
-    right = names.withColumn("__name", F.lower(name)).filter(F.length("__name") >= GRAM).withColumn("__gram", F.substr("__name", F.lit(1), F.lit(GRAM)))
-    return left.join(right, "__gram").filter(F.contains("__low", "__name")).drop("__gram", "__low", "__name")
+    left = texts.filter(F.length(text) >= GRAM).select("*", low.alias("__low")).withColumn("gram", F.explode(_grams(F.col("__low"))))
+    right = names.withColumn("__name", F.lower(name)).filter(F.length("__name") >= GRAM)
+    keys = materialize(rarest_grams(left.select("gram"), right.select(F.col("__name").alias("name")).distinct()), "rarest-grams")
+    if told is not None:
+        of = keys.join(right.select(F.col("__name").alias("name")), "name").groupBy("gram").agg(F.sum("n").alias("n"))
+        sums = of.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"), F.coalesce(F.max("n") / F.sum("n"), F.lit(0.0)).alias("largest_share")).first()
+        told |= sums.asDict()
+    right = right.join(keys.select(F.col("name").alias("__name"), "gram"), "__name")
+    return left.join(right, "gram").filter(F.contains("__low", "__name")).drop("gram", "__low", "__name")
 
 
 def token_join(df: DataFrame, ident: str, tokens: str, threshold: float) -> DataFrame:

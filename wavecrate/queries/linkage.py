@@ -10,7 +10,7 @@ from wavecrate.operators import linkage as L
 from wavecrate.operators import tracklist as T
 from wavecrate.plans import merge as M
 from wavecrate.plans.band_join import band_join
-from wavecrate.plans.cooc import pair_counts
+from wavecrate.plans.cooc import overlapping
 from wavecrate.plans.text_joins import containment_join, token_join
 from wavecrate.plans.topk import one_per
 from wavecrate.queries.registry import query
@@ -37,7 +37,7 @@ def C07_unlinked_tracks(b: Bed) -> DataFrame:
 
 @query("WITH h AS (SELECT DISTINCT playlist_id, catalog_id FROM radar_tracks WHERE active) SELECT a.catalog_id AS a, b.catalog_id AS b, count(*) AS n FROM h a JOIN h b ON a.playlist_id = b.playlist_id AND a.catalog_id < b.catalog_id GROUP BY 1, 2 HAVING count(*) >= 3")
 def C10_cooc_pairs(b: Bed) -> DataFrame:
-    return pair_counts(b.radar_tracks.filter("active"), "playlist_id", "catalog_id").filter("n >= 3")
+    return overlapping(b.radar_tracks.filter("active"), "playlist_id", "catalog_id", 3)
 
 
 @query(

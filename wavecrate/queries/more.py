@@ -11,12 +11,14 @@ from wavecrate.operators import artists as A
 from wavecrate.operators import embeddings as E
 from wavecrate.operators import enrichment as R
 from wavecrate.operators import genres as G
+from wavecrate.operators import monitoring as M
 from wavecrate.operators import sets as S
 from wavecrate.operators.backlog import outcome
 from wavecrate.plans.topk import one_per, top_k
 from wavecrate.plans.visibility import root_sets, visible
 from wavecrate.queries.listings import SEEN
 from wavecrate.queries.linkage import PAIRS_SQL, _pairs
+from wavecrate.plans.quantiles import exact_percentiles
 from wavecrate.queries.registry import query
 from wavecrate.testbed import Bed
 
@@ -262,8 +264,7 @@ def T09_gower(b: Bed) -> DataFrame:
 def T12_quantiles(b: Bed) -> DataFrame:
     c = b.catalog.filter("bpm is not null").select("id", "artist", "bpm")
     pairs = c.alias("a").join(c.alias("b"), "artist").filter("a.id < b.id").select(F.round(F.abs(F.col("a.bpm") - F.col("b.bpm")), 3).alias("d"))
-    qs = F.array(*[F.struct(F.lit(q).alias("q"), F.percentile("d", q).alias("v")) for q in (0.25, 0.5, 0.9)])
-    return pairs.agg(qs.alias("x")).select(F.inline("x")).select("q", F.round("v", 6).alias("v"))
+    return exact_percentiles(pairs, [], "d", [0.25, 0.5, 0.9]).select(F.col("at").alias("q"), F.round("value", 6).alias("v"))
 
 
 @query("SELECT round(avg(CASE WHEN abs(bpm - 128) <= 2 THEN 1.0 ELSE 0.0 END), 6) AS raw, round(avg(CASE WHEN abs(bpm - 128) <= 2 OR abs(bpm * 0.5 - 128) <= 2 OR abs(bpm * 2 - 128) <= 2 THEN 1.0 ELSE 0.0 END), 6) AS octaves FROM catalog WHERE bpm IS NOT NULL")
@@ -276,10 +277,10 @@ def S07_run_logs(b: Bed) -> DataFrame:
     return b.runs.filter("status = 'error'").orderBy(F.desc("started_at"), F.desc("id")).limit(100).select("task_type", "id", "started_at", "status")
 
 
-@query("SELECT id, started_at FROM runs WHERE started_at >= (SELECT max(started_at) FROM runs) - INTERVAL 396 HOUR", text=("started_at",))
+@query("SELECT id, started_at FROM runs WHERE started_at >= (SELECT max(started_at) FROM runs) - INTERVAL 20 DAY", text=("started_at",))
 def A17_retention(b: Bed) -> DataFrame:
-    last = b.runs.agg(F.max("started_at").alias("last")).select(F.expr("last - INTERVAL '396' HOUR").alias("cut"))
-    return b.runs.crossJoin(F.broadcast(last)).filter("started_at >= cut").select("id", "started_at")
+    last = b.runs.agg(F.max("started_at").alias("last")).first()["last"]
+    return M.retained(b.runs, "started_at", F.lit(last), 20).select("id", "started_at")
 
 
 @query("SELECT user_id, catalog_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, catalog_id) AS place FROM library")

@@ -287,13 +287,13 @@ def A18_replaced_children(b: Bed) -> DataFrame:
     return M.replace_children(old, fresh, "user_id")
 
 
-_KEYED = "SELECT s_suppkey AS id, lower(substr(s_name, 1, 8)) || CAST(s_suppkey % 30 AS VARCHAR) AS key FROM supplier"
+_KEYED = "SELECT s_suppkey AS id, lower(substr(s_name, 1, 8)) || CAST(CAST(floor(s_suppkey / 4) AS BIGINT) AS VARCHAR) AS key FROM supplier"
 
 
 @query("WITH k AS (" + _KEYED + "), h AS (SELECT key, min(id) AS holder FROM k WHERE id % 5 = 0 GROUP BY 1 HAVING count(*) = 1) SELECT k.id, h.holder FROM k JOIN h ON h.key = k.key WHERE k.id % 5 IN (1, 2)")
 def C20_orphans(b: Bed) -> DataFrame:
     n = F.col("s_suppkey")
-    base = F.concat(F.left("s_name", F.lit(8)), (n % 30).cast("string"))
+    base = F.concat(F.left("s_name", F.lit(8)), F.floor(n / 4).cast("string"))
     rows = b.supplier.select(n.alias("id"), F.when(n % 2 == 0, F.upper(base)).otherwise(base).alias("name"), F.when(n % 5 == 0, n.cast("string")).when(n % 5 > 2, "NOT_FOUND").alias("deezer_id"))
     return A.orphans(rows)
 

@@ -126,7 +126,7 @@ def Q04_velocity(b: Bed) -> DataFrame:
 
 @query("SELECT user_id, event_type, min(ts) AS first_ts FROM events GROUP BY 1, 2", text=("first_ts",))
 def Q05_first_activity(b: Bed) -> DataFrame:
-    return b.events.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_ts"))
+    return activity.deduplicated(b.events, ["user_id", "event_type"]).select("user_id", "event_type", F.col("ts").alias("first_ts"))
 
 
 @query(

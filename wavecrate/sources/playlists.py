@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
+import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from wavecrate.sources.paths import json_lines, listed, store, text
+
 
 class PlaylistPartition(InputPartition):
     def __init__(self, folder: str) -> None:
@@ -29,21 +31,33 @@ class PlaylistReader(DataSourceReader):
             raise ValueError(f"unknown playlist source: {self.source!r}")
 
     def partitions(self) -> list[PlaylistPartition]:
-        return [PlaylistPartition(os.path.join(self.path, d)) for d in sorted(os.listdir(self.path)) if os.path.isdir(os.path.join(self.path, d))]
+        fs, top = store(self.path)
+        return [PlaylistPartition(f.base_name) for f in listed(fs, top) if f.type == pafs.FileType.Directory]
+
+    def page(self, folder: str, number: int) -> dict:
+        """A page is the file page-N.json, or the only object of the folder page=N. One that is missing fails the playlist: part of a list would look like removals."""
+        fs, top = store(self.path)
+        file = f"{top}/{folder}/page-{number}.json"
+        if fs.get_file_info(file).type == pafs.FileType.File:
+            return json.loads(text(fs, file))
+        found = json_lines(fs, f"{top}/{folder}/page={number}")
+        if len(found) != 1:
+            raise FileNotFoundError(file)
+        return found[0]
 
     def read(self, partition: PlaylistPartition) -> Iterator[tuple]:
-        rows, page = [], 0
-        while page is not None:  # a page that is missing fails the playlist: part of a list would look like removals
-            with open(os.path.join(partition.folder, f"page-{page}.json"), encoding="utf-8") as f:
-                body = json.load(f)
-            for t in body["tracks"]:
-                rows.append((os.path.basename(partition.folder), len(rows), *(None if t.get(k) is None else str(t[k]) for k in FIELDS[self.source])))
-            page = body.get("next")
+        rows, number = [], 0
+        name = partition.folder.rsplit("=", 1)[-1]
+        while number is not None:
+            body = self.page(partition.folder, number)
+            for t in body.get("tracks") or []:
+                rows.append((name, len(rows), *(None if t.get(k) is None else str(t[k]) for k in FIELDS[self.source])))
+            number = body.get("next")
         yield from rows
 
 
 class Playlists(DataSource):
-    """``spark.read.format("playlists").option("source", "alpha").load(folder)``; a folder a playlist, files page-N.json with tracks and next."""
+    """``spark.read.format("playlists").option("source", "alpha").load(folder)``; a folder a playlist (name or anything=name), pages with tracks and next."""
 
     @classmethod
     def name(cls) -> str:

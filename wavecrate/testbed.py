@@ -82,8 +82,22 @@ VIEWS: dict[str, str] = {
     "opinions": """
         SELECT o_custkey AS user_id, CAST(l_partkey AS STRING) AS entity_key, CASE WHEN max(l_quantity) >= 46 THEN 'liked' ELSE 'disliked' END AS opinion
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity >= 46 OR l_quantity <= 2 GROUP BY o_custkey, l_partkey""",
-    "genre_nodes": _values([(i, label) for label, i in _ID.items()], "id, label"),
-    "genre_edges": _values([(_ID[a], _ID[b], "parent") for a, b in GENRE_PARENTS] + [(_ID[a], _ID[b], "influence") for a, b in GENRE_INFLUENCES], "child_id, parent_id, type"),
+    # Below the named genres: a node for each part name, for each brand's parts of a name, and for each part.
+    "genre_names": """
+        SELECT p_name AS name, CAST(1000 + row_number() OVER (ORDER BY p_name) AS BIGINT) AS id, split(p_name, ' ') AS words
+        FROM (SELECT DISTINCT p_name FROM {part}) d""",
+    "genre_brands": """
+        SELECT p_brand AS brand, p_name AS name, CAST(10000 + row_number() OVER (ORDER BY p_brand, p_name) AS BIGINT) AS id, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_name) AS next_name
+        FROM (SELECT DISTINCT p_brand, p_name FROM {part}) d""",
+    "genre_nodes": _values([(i, label) for label, i in _ID.items()], "id, label")
+    + """ UNION ALL SELECT id, name FROM {genre_names}
+        UNION ALL SELECT id, brand || ' ' || name FROM {genre_brands}
+        UNION ALL SELECT 1000000 + p_partkey, 'no ' || CAST(p_partkey AS STRING) FROM {part}""",
+    "genre_edges": _values([(_ID[a], _ID[b], "parent") for a, b in GENRE_PARENTS] + [(_ID[a], _ID[b], "influence") for a, b in GENRE_INFLUENCES], "child_id, parent_id, type")
+    + f""" UNION ALL SELECT n.id, w.id, 'parent' FROM {{genre_names}} n JOIN ({_values([(i, label) for label, i in _ID.items()], "id, label")}) w ON array_contains(n.words, w.label)
+        UNION ALL SELECT b.id, n.id, 'parent' FROM {{genre_brands}} b JOIN {{genre_names}} n ON n.name = b.name
+        UNION ALL SELECT 1000000 + p.p_partkey, b.id, 'parent' FROM {{part}} p JOIN {{genre_brands}} b ON b.brand = p.p_brand AND b.name = p.p_name
+        UNION ALL SELECT b.id, c.id, 'influence' FROM {{genre_brands}} b JOIN {{genre_brands}} c ON c.brand = b.brand AND c.name = b.next_name""",
     "genre_map": _values([(raw, _ID.get(raw)) for raw in _MAPPED], "raw_name, node_id"),
     "runs": """
         SELECT event_id AS id, event_type AS task_type, CASE user_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' END AS source,
@@ -111,7 +125,10 @@ class Bed:
 
 def oracle(sql: str) -> str:
     """``sql`` for DuckDB, with the views that it names in front."""
-    ctes = [f"{v} AS ({text.format(**{t: t for t in BASE})})" for v, text in VIEWS.items() if re.search(rf"\b{v}\b", sql)]
+    named = {v for v in VIEWS if re.search(rf"\b{v}\b", sql)}
+    while more := {t for v in named for t in re.findall(r"\{(\w+)\}", VIEWS[v]) if t in VIEWS} - named:
+        named |= more
+    ctes = [f"{v} AS ({text.format(**{t: t for t in (*BASE, *VIEWS)})})" for v, text in VIEWS.items() if v in named]
     sql = sql.strip()
     if not ctes:
         return sql
