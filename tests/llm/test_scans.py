@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -222,3 +223,29 @@ def test_leaks_by_any_window(spark):
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs_], "doc_id long, text string")
     got = decontam.contaminated(df, spark.createDataFrame([(n, " ".join(q)) for n, q in items], "item_id long, text string"))
     assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want
+
+
+def test_longest_stretches(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(120):
+        n = r.randint(1, 40)
+        rows.append((k, r.choice([1, 3, 13]), [r.random() < r.choice([0.6, 0.8, 0.95]) for _ in range(n)]))
+    want = {}
+    for k, least, same in rows:
+        found = [(j - i, sum(same[i:j])) for i in range(len(same)) for j in range(i + least, len(same) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i)]
+        if found:
+            want[k] = max(found)
+    got = decontam.stretches(spark.createDataFrame(rows, "k int, least int, same array<boolean>"), ["k"]).collect()
+    assert {x["k"]: (x["length"], x["matched"]) for x in got} == want and len(want) > 20
+
+
+def test_long_leaks_take_little_time(spark):
+    """A passage of 5000 tokens, verbatim and with one token in ten replaced."""
+    passage = [f"p{i}" for i in range(5000)]
+    changed = ["other" if i % 10 == 5 else w for i, w in enumerate(passage)]
+    docs_ = spark.createDataFrame([(1, " ".join(["x", *passage])), (2, " ".join([*changed, "y"])), (3, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    began = time.monotonic()
+    got = sorted((x["doc_id"], x["overlap"], x["matched"], x["at"]) for x in decontam.contaminated(docs_, bench).collect())
+    assert got == [(1, 5000, 5000, 1), (2, 5000, 4500, 0)] and time.monotonic() - began < 60

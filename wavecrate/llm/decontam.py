@@ -12,7 +12,7 @@ is equal in both; runs are hashed as masks of ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavecrate.llm.rows import drop_rows, row_key
@@ -102,18 +102,26 @@ def reaches(same: Column, least: Column) -> Column:
     return F.aggregate(pairs, zero, step, lambda a: a["found"])
 
 
-def stretch(same: Column, least: Column) -> Column:
-    """(length, matched) of the longest stretch of ``least`` or more that agrees in 0.8 or more, of those the best; null if there is none."""
-    p, q = AGREE
-    sums = F.aggregate(same, F.array(F.lit(0)), lambda a, hit: F.concat(a, F.array(F.element_at(a, -1) + hit.cast("int"))))
-
-    def ends(i: Column) -> Column:
-        held = lambda j: F.element_at(sums, j + 1) - F.element_at(sums, i + 1)
-        good = F.filter(F.sequence(i + least, F.size(same)), lambda j: held(j) * q >= (j - i) * p)
-        j = F.array_max(good)
-        return F.when(j.isNotNull(), F.struct((j - i).alias("length"), held(j).alias("matched")))
+def stretches(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, length, matched) of the longest stretch of ``least`` or more of each row's ``same`` that agrees in 0.8 or more, of those the best; rows without one go.
 
-    return F.when(F.size(same) >= least, F.array_max(F.transform(F.sequence(F.lit(0), F.size(same) - least), ends)))
+    With the steps of ``reaches`` added up, a stretch agrees enough if the sum at its
+    end is not below that at its start. So for each end the longest one starts at the
+    first place whose sum is not above: a minimum over the places in order of their
+    sums. Two sorts of a row's places, however long it is. ``keys`` tell all rows apart.
+    """
+    p, q = AGREE
+    steps = F.concat(F.array(F.lit(0)), F.transform("same", lambda hit: F.when(hit, q - p).otherwise(-p)))
+    places = aligned.select(*keys, "least", F.posexplode(steps).alias("place", "step"))
+    row = Window.partitionBy(*keys)
+    sums = places.withColumn("sum", F.sum("step").over(row.orderBy("place")))
+    first = F.min(F.struct("place", "sum")).over(row.orderBy("sum").rangeBetween(Window.unboundedPreceding, 0))
+    length = F.col("place") - F.col("first.place")
+    # Each of them adds q - p to the sum, and each of the others takes p from it.
+    matched = (F.col("sum") - F.col("first.sum") + p * length) / q
+    held = sums.withColumn("first", first).filter(length >= F.col("least"))
+    best = held.groupBy(*keys).agg(F.max(F.struct(length.alias("length"), matched.cast("int").alias("matched"))).alias("s"))
+    return best.select(*keys, "s.length", "s.matched")
 
 
 def contaminated(
@@ -161,10 +169,10 @@ def contaminated(
     count = F.least(F.size("item"), F.size("words") - F.col("at")) - first
     pairs = F.zip_with(F.slice("words", F.col("at") + first + 1, count), F.slice("item", first + 1, count), lambda a, b: a == b)
     least = F.least(F.lit(min_overlap), F.size("item"))
-    compared = aligned.filter(count >= least).select("doc_id", "row_key", "item_id", "at", least.alias("least"), pairs.alias("same"))
+    keys = ["doc_id", "row_key", "item_id", "item_key", "at"]
+    compared = aligned.filter(count >= least).select(*keys, least.alias("least"), pairs.alias("same"))
     held = materialize(compared.filter(reaches(F.col("same"), F.col("least"))), "leaks")
-    scored = held.select("doc_id", "row_key", "item_id", "at", stretch(F.col("same"), F.col("least")).alias("s"))
-    best = scored.groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("s.length", "s.matched", (-F.col("at")).alias("minus"))).alias("b"))
+    best = stretches(held, keys).groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("length", "matched", (-F.col("at")).alias("minus"))).alias("b"))
     return best.select(
         "doc_id",
         "row_key",
