@@ -26,7 +26,7 @@ def Q06_resumed_listing(b: Bed, page_size: int = 500) -> DataFrame:
     """All events as a newest-first listing, read by a stream that is stopped and resumed until nothing is left."""
     ship(b.spark)
     b.spark.dataSource.register(listing.Listing)
-    events = b.events.select("event_id", "user_id", "event_type", "ts", F.unix_micros("ts").alias("at"))
+    events = b.events.select("event_id", "user_id", "event_type", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     ranked = global_rank(events, "at", "event_id").withColumn("page", F.floor((F.col("rank") - 1) / page_size))
     pages, sink = _folder(b, "listing"), _folder(b, "taken")
     shown = ranked.select("page", "rank", "event_id", F.date_format("ts", STAMP).alias("added_on"), "user_id", "event_type")
