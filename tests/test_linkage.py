@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -18,6 +19,26 @@ def test_cliques_are_not_transitive(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 7: 5}
 
 
+def test_clusters_by_the_rule():
+    """Against comparing each row with all members of each cluster; and a large group in little time."""
+    r = random.Random(7)
+    same = lambda x, y: x[1] == y[1] if x[1] and y[1] else x[2] == y[2]
+    for _ in range(400):
+        rows = [(i, r.choice([None, None, "A", "B", "C"]), r.choice("xyz")) for i in range(r.randint(0, 14))]
+        want: dict = {}
+        for k, seed in enumerate(rows):
+            if seed[0] not in want:
+                members = [seed]
+                for other in rows[k:]:
+                    if other[0] not in want and all(same(m, other) for m in members):
+                        members.append(other)
+                want |= {m[0]: seed[0] for m in members}
+        assert linkage._clusters(rows) == want
+    many = [(i, r.choice([None, f"c{r.randrange(20_000)}"]), f"t{r.randrange(30_000)}") for i in range(100_000)]
+    began = time.monotonic()
+    assert len(linkage._clusters(many + [(i, "one", "t") for i in range(100_000, 150_000)])) == 150_000 and time.monotonic() - began < 20
+
+
 def test_merge_fills_from_the_next(spark):
     schema = "g int, id long, title string, isrc string, bpm double, key string, duration_ms int, label string, release_date date, genres array<string>, has_artwork boolean, has_preview boolean, attempts int, searched_at date, scope string, created_at date"
     d = dt.date

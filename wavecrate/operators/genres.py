@@ -46,7 +46,7 @@ def artist_genres(links: DataFrame, catalog: DataFrame, share: float = 0.2) -> D
 
 def pillar_counts(genres: DataFrame, pillars: DataFrame) -> DataFrame:
     """(pillar, n) of distinct genres, every pillar listed."""
-    named = genres.select(F.col("genre").alias("raw_name")).distinct().join(F.broadcast(pillars), "raw_name", "left")
+    named = genres.select(F.col("genre").alias("raw_name")).distinct().join(pillars, "raw_name", "left")
     counts = named.groupBy(F.coalesce("pillar", F.lit(PILLARS[-1])).alias("pillar")).agg(F.count(F.lit(1)).alias("n"))
     every = genres.sparkSession.range(1).select(F.explode(F.array(*[F.lit(p) for p in PILLARS])).alias("pillar"))
     return every.join(counts, "pillar", "left").select("pillar", F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import OrderedDict, defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,35 +35,65 @@ def pick_canonical(rows: DataFrame, cluster: list[str]) -> DataFrame:
     return one_per(rows, cluster, canonical_order())
 
 
+def _clusters(rows: list[tuple[int, str | None, str]]) -> dict[int, int]:
+    """{id: first id of its cluster} of rows (id, code or None, title) by rising id, each row taken up once.
+
+    A cluster with a row without a code has one title, and one code among the rows
+    that have one; else it has one code and any titles. Which of the two a row with a
+    code begins is settled by the next row that would join it.
+    """
+    coded: dict[str, OrderedDict[int, str]] = defaultdict(OrderedDict)  # by code: id to title
+    named: dict[str, OrderedDict[int, str]] = defaultdict(OrderedDict)  # by title: id to code
+    plain: dict[str, OrderedDict[int, None]] = defaultdict(OrderedDict)  # by title, rows without a code
+    both: dict[tuple[str, str], OrderedDict[int, None]] = defaultdict(OrderedDict)
+    for ident, code, title in rows:
+        if code is None:
+            plain[title][ident] = None
+        else:
+            coded[code][ident], named[title][ident], both[code, title][ident] = title, code, None
+    codes, titles = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+    out: dict[int, int] = {}
+
+    def take(idents: list[int], first: int) -> None:
+        for ident in idents:
+            out[ident] = first
+            code, title = codes[ident], titles[ident]
+            if code is None:
+                del plain[title][ident]
+            else:
+                del coded[code][ident], named[title][ident], both[code, title][ident]
+
+    for ident, code, title in rows:
+        if ident in out:
+            continue
+        take([ident], ident)
+        if code is None:
+            code = next(iter(named[title].values()), None)
+        else:
+            other = next((i for i, t in coded[code].items() if t != title), None)
+            if other is not None and other < next(iter(plain[title]), math.inf):
+                take(list(coded[code]), ident)
+                continue
+        if code is not None:
+            take(list(both[code, title]), ident)
+        take(list(plain[title]), ident)
+    return out
+
+
 def cliques(rows: DataFrame, group: str) -> DataFrame:
     """(group, id, cluster): rows of a group (sharing a platform id) by whether they are one recording.
 
-    In order of id, a row joins the first cluster all of whose members are the
-    same track; cluster is its first member's id. Groups are as small as a
-    platform id's rows are few; rows without one, or marked as not found, are in no group.
+    In order of id, a row joins the first cluster all of whose members are the same
+    track; cluster is its first member's id. A group is held by one task, which takes
+    up each of its rows once, so its time is in proportion to its rows. Rows without a
+    platform id, or marked as not found, are in no group.
     """
     ship(rows.sparkSession)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows_ = pdf.sort_values("id").to_dict("records")
-        known = lambda v: isinstance(v, str) and v != ""
-
-        def same(x: dict, y: dict) -> bool:
-            if known(x["isrc"]) and known(y["isrc"]):
-                return x["isrc"] == y["isrc"]
-            return x["plain"] == y["plain"]
-
-        out: dict[int, int] = {}
-        for i, seed in enumerate(rows_):
-            if seed["id"] in out:
-                continue
-            members = [seed]
-            out[seed["id"]] = seed["id"]
-            for other in rows_[i + 1 :]:
-                if other["id"] not in out and all(same(m, other) for m in members):
-                    members.append(other)
-                    out[other["id"]] = seed["id"]
-        return pd.DataFrame({group: pdf[group].iloc[0], "id": list(out), "cluster": list(out.values())})
+        pdf = pdf.sort_values("id")
+        found = _clusters([(int(i), c if isinstance(c, str) and c else None, t) for i, c, t in zip(pdf["id"], pdf["isrc"], pdf["plain"], strict=True)])
+        return pd.DataFrame({group: pdf[group].iloc[0], "id": list(found), "cluster": list(found.values())})
 
     need = rows.filter(F.col(group) != NOT_FOUND).select(group, F.col("id").cast("long").alias("id"), "isrc", track_title(F.col("title")).alias("plain"))
     kind = rows.schema[group].dataType.simpleString()

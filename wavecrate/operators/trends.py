@@ -52,7 +52,7 @@ def trend_scores(found: DataFrame, catalog: DataFrame, as_of: Column, p: Trends
 
 def family(tracks: DataFrame, pillars: DataFrame, ident: str = "id") -> DataFrame:
     """(id, family): the first genre's pillar that is known and not the other one, else the first genre's pillar, else null."""
-    each = tracks.select(ident, F.posexplode("genres").alias("pos", "raw_name")).join(F.broadcast(pillars.select("raw_name", "pillar")), "raw_name", "left")
+    each = tracks.select(ident, F.posexplode("genres").alias("pos", "raw_name")).join(pillars.select("raw_name", "pillar"), "raw_name", "left")
     first = each.groupBy(ident).agg(
         F.min_by("pillar", F.when(F.col("pillar") != OTHER_PILLAR, F.col("pos"))).alias("known"),
         F.min_by("pillar", "pos").alias("any"),

@@ -42,34 +42,86 @@ def streaks(events: DataFrame, bad: Column, key: str = "user_id") -> DataFrame:
 class Membership(StatefulProcessor):
     """Of one playlist: what its last crawl held, and what each new crawl changes.
 
-    Input rows: crawl (number), track. A crawl is one batch of a playlist; a marker
-    row with a null track stands for an empty one.
+    Input rows: crawl (number), track, at (time). A crawl is one batch of a playlist; a
+    marker row with a null track stands for an empty one. A track that was removed is
+    forgotten ``keep`` days after that, and a playlist that isn't crawled for so long
+    is forgotten whole, by a timer on event time; what comes back after that is new.
+    So the state holds present members and what was removed lately.
     """
 
+    def __init__(self, keep: int):
+        self.keep = keep * 86_400_000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.members = handle.getMapState("members", "track string", "removed boolean")
+        self.handle = handle
+        self.members = handle.getMapState("members", "track string", "removed_at long")
+        self.crawled = handle.getValueState("crawled", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         table = pd.concat(list(rows))
-        out = []
+        out, known = [], {k[0]: v[0] for k, v in self.members.iterator()}
+        last = self.crawled.get()[0] if self.crawled.exists() else None
         for crawl, part in table.sort_values("crawl").groupby("crawl"):
-            here = set(part["track"].dropna())
-            known = {k[0]: v[0] for k, v in self.members.iterator()}
+            here, now = set(part["track"].dropna()), int(part["at"].max().timestamp() * 1000)
+            if last is not None and now - last > self.keep:
+                known = {}
+            last = now
+            for track in [t for t, at in known.items() if 0 <= at < now - self.keep]:
+                del known[track]
             for track in sorted(here):
                 if track not in known:
                     out.append((key[0], crawl, track, "inserted"))
-                elif known[track]:
+                elif known[track] >= 0:
                     out.append((key[0], crawl, track, "restored"))
-                self.members.updateValue((track,), (False,))
-            for track in sorted(t for t, removed in known.items() if not removed and t not in here):
+                known[track] = -1
+            for track in sorted(t for t, at in known.items() if at < 0 and t not in here):
                 out.append((key[0], crawl, track, "removed"))
-                self.members.updateValue((track,), (True,))
+                known[track] = now
+        self.members.clear()
+        for track, at in known.items():
+            self.members.updateValue((track,), (at,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.crawled.update((last,))
+        self.handle.registerTimer(last + self.keep)
         yield pd.DataFrame(out, columns=["playlist", "crawl", "track", "change"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        self.members.clear()
+        self.crawled.clear()
+        yield pd.DataFrame([], columns=["playlist", "crawl", "track", "change"]).astype({"crawl": "int64"})
+
     def close(self) -> None:
         pass
 
 
-def membership(crawls: DataFrame) -> DataFrame:
-    """(playlist, crawl, track, change) of a stream of crawls: playlist, crawl, track."""
-    return crawls.groupBy("playlist").transformWithStateInPandas(Membership(), "playlist string, crawl long, track string, change string", "append", "none")
+CHANGES = "playlist string, crawl long, track string, change string"
+
+
+def membership(crawls: DataFrame, keep: int = 396, delay: str = "1 day") -> DataFrame:
+    """(playlist, crawl, track, change) of a stream of crawls: playlist, crawl, track, at."""
+    late = crawls.withWatermark("at", delay)
+    return late.groupBy("playlist").transformWithStateInPandas(Membership(keep), CHANGES, "append", "eventTime")
+
+
+def membership_batch(crawls: DataFrame, keep: int = 396) -> DataFrame:
+    """The same of a table of all crawls: each member's presence over its playlist's crawls, compared with the crawl before.
+
+    A track that is there and wasn't in the crawl before is restored if it was there
+    and its removal is no more than ``keep`` days old, else inserted. A longer gap
+    between two crawls begins anew.
+    """
+    days = F.make_dt_interval(F.lit(keep))
+    each = crawls.groupBy("playlist", "crawl").agg(F.max("at").alias("at"))
+    order = Window.partitionBy("playlist").orderBy("crawl")
+    each = each.withColumn("n", F.row_number().over(order)).withColumn("gap", (F.col("at") > F.lag("at").over(order) + days).cast("int"))
+    each = each.withColumn("era", F.coalesce(F.sum("gap").over(order), F.lit(0)))
+    after = Window.partitionBy("playlist", "era").orderBy("crawl")
+    each = each.withColumn("next_crawl", F.lead("crawl").over(after)).withColumn("next_at", F.lead("at").over(after))
+    held = crawls.filter("track is not null").select("playlist", "crawl", "track").distinct().join(each, ["playlist", "crawl"])
+    one = Window.partitionBy("playlist", "era", "track").orderBy("n")
+    held = held.withColumn("before", F.lag("n").over(one)).withColumn("left_at", F.lag("next_at").over(one)).withColumn("after", F.lead("n").over(one))
+    fresh = F.col("before").isNull() | (F.col("left_at") < F.col("at") - days)
+    came = held.filter(F.col("before").isNull() | (F.col("before") < F.col("n") - 1)).select("playlist", "crawl", "track", F.when(fresh, "inserted").otherwise("restored").alias("change"))
+    gone = held.filter(F.col("next_crawl").isNotNull() & (F.col("after").isNull() | (F.col("after") > F.col("n") + 1)))
+    return came.unionByName(gone.select("playlist", F.col("next_crawl").alias("crawl"), "track", F.lit("removed").alias("change")))
