@@ -82,3 +82,50 @@ def test_links_beyond_two_bits(spark):
     got = {tuple(e) for e in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), bits=5).collect()}
     mask = 2**64 - 1
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 5}
+
+
+def crowd(seed=8, texts=60, words=800, edits=11):
+    """Texts of one origin, most pairs of them just below a similarity of 0.8."""
+    r = random.Random(seed)
+    base, out = [f"w{r.randrange(9000)}" for _ in range(words)], []
+    for k in range(texts):
+        w = list(base)
+        for i in r.sample(range(0, words, 5), edits):
+            w[i] = f"x{k}-{i}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+def work(spark, call):
+    """The result of ``call``, the executions it took and the most rows that a kind of join put out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    seen = {e.executionId() for e in (store.executionsList().apply(i) for i in range(store.executionsList().size()))}
+    out = call()
+    bus.waitUntilEmpty()
+    every = store.executionsList()
+    new = [e for e in (every.apply(i).executionId() for i in range(every.size())) if e not in seen]
+    rows = {}
+    for e in new:
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    rows[node.desc()] = rows.get(node.desc(), 0) + int(values.apply(m.accumulatorId()).replace(",", ""))
+    return out, len(new), max(rows.values())
+
+
+def test_a_crowd_below_the_bound_meets_once_a_pair(spark):
+    texts = crowd()
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    told, executions, most = work(spark, lambda: shingle_links.similar_classes(df).collect())
+    want = roots(texts)
+    assert len(set(want.values())) > len(texts) // 4  # most are apart
+    by = {}
+    for r in told:
+        by.setdefault(r["root"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, by.values())) == sorted(sorted(d for d in want if want[d] == x) for x in set(want.values()))
+    # No join makes more rows than the texts have shingles; met at each shared shingle, the pairs made several times as many.
+    assert most <= 800 * len(texts), most
+    assert executions <= 40, executions

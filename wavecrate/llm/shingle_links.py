@@ -8,13 +8,14 @@ candidates therefore share one of ``BANDS`` keys of ``ROWS`` minhashes each; at
 pair shares none with a chance of (1 - 0.8 ** 4) ** 40, or 7e-10, whatever its texts'
 lengths. All candidates are verified against the whole shingle sets.
 
-Texts with equal sets are one class. Components need not all links: of the members
-of a key, those that are still apart are verified against its least class, then
-against its greatest. Classes apart even then are never all paired: such two must
-share one of their rarest shingles (prefix filtering), and only those that do meet.
-Wherever two classes meet, bitmaps of their sets bound from below how much these
-differ, and pairs that differ too much go no further (bitmap filtering). Both
-filters are exact.
+Texts with equal sets are one class. Components need not all links: the members of
+a key are verified against its least class and its greatest. Classes apart even then
+are never all paired: such two must share one of their rarest shingles (prefix
+filtering), with enough shingles after it in both (positional filtering), and only
+those that do meet: those outside a shingle's largest component meet all that have
+it, and two meet at the first shingles that they share, not at each. Wherever two
+classes meet, bitmaps of their sets bound from below how much these differ, and
+pairs that differ too much go no further (bitmap filtering). All filters are exact.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavecrate.llm.components import connected_components
@@ -38,6 +39,8 @@ BANDS, ROWS = 40, 4
 #: Longs of a set's bitmap.
 BITMAP = 8
 BITS = [f"b{i}" for i in range(BITMAP)]
+#: Shingles before a shared one that are looked at for whether two classes have met already.
+BEFORE = 8
 #: Shingles whose minhashes are taken at once.
 BLOCK = 1 << 12
 _SALTS = np.random.default_rng(42).integers(1, 1 << 63, size=(BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
@@ -131,40 +134,62 @@ def _print_pairs(prints: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _apart(shared: DataFrame, edges: DataFrame) -> DataFrame:
-    """``shared`` with the root of each class, where the classes of a key have more than one."""
-    roots = materialize(connected_components(edges), "set-components")
-    known = roots.toDF("cls", "root")
-    rooted = materialize(shared.drop("root").join(F.broadcast(known) if small(known) else known, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted-keys")
-    several = materialize(rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key"), "open-keys")
-    return rooted.join(F.broadcast(several) if small(several) else several, "key", "left_semi")
+def _pivot_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each class of ``shared`` (cls, n, key, bitmap) with the least and the greatest class of its keys."""
+    p = F.struct("cls", "n", *BITS)
+    ends = shared.groupBy("key").agg(F.array(F.min(p), F.max(p)).alias("p"))
+    pivots = ends.select("key", F.explode("p").alias("p")).select("key", *[F.col(f"p.{c}").alias(c + "2") for c in ("cls", "n", *BITS)])
+    return _pairs(shared.join(pivots, "key").filter((F.col("cls") != F.col("cls2")) & _alike()))
 
 
-def _rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): classes of ``open_`` (cls, n, root, bitmap), of unlike roots, that share one of the shingles that similar sets can't all lack.
+def _open_classes(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cls, n, root): classes that share a key with a class of another root."""
+    rooted = shared.join(F.broadcast(roots) if small(roots) else roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
+    return rooted.join(several, "key", "left_semi").select("cls", "n", "root").distinct()
+
+
+def _rare_shingles(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls, key, after, before, ...): of each class of ``open_`` (cls, n, root, bitmap), the shingles that similar sets can't all lack.
 
     With shingles from rare to common, two sets of a similarity of p / q share one
     of the first n - ceil(n * p / q) + 1 of either. Those that one class alone has
-    come first and meet nothing.
+    come first and meet nothing. ``after`` counts the class's shingles from this one
+    on; ``before`` has up to ``BEFORE`` that come just before it.
     """
     p, q = SIMILAR
     each = sets.join(open_.select("cls", "n"), "cls").select("cls", "n", F.explode("shingles").alias("s"))
     known = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = each.join(known, "s").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("t"))
     first = F.col("n") - F.ceil(F.col("n") * p / q) + 1
-    heads = shared.select("cls", F.explode(F.slice("t", F.lit(1), F.greatest(F.lit(0), first - (F.col("n") - F.size("t"))).cast("int"))).alias("x"))
-    heads = materialize(heads.select("cls", F.col("x.s").alias("key")).join(open_, "cls"), "rare-shingles")
-    return _met(heads, heads)
+    heads = shared.select("cls", F.size("t").alias("m"), F.slice("t.s", F.lit(1), F.greatest(F.lit(0), first - (F.col("n") - F.size("t"))).cast("int")).alias("h"))
+    placed = F.transform("h", lambda s, i: F.struct(s.alias("key"), (F.col("m") - i).alias("after"), F.slice("h", F.greatest(i - BEFORE, F.lit(0)) + 1, F.least(i, F.lit(BEFORE))).alias("before")))
+    return heads.select("cls", F.explode(placed).alias("x")).select("cls", "x.*").join(open_, "cls")
 
 
-def _met(left: DataFrame, other: DataFrame) -> DataFrame:
-    """(a, b): classes of one key, of unlike roots, and of sizes and bitmaps that similar sets may have."""
+def _rare_rows(heads: DataFrame) -> DataFrame:
+    """Rows of two classes of ``heads``, of unlike roots, that may be similar: one at least for each such pair, at the first shingle they share."""
+    p, q = SIMILAR
+    groups = heads.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    most = groups.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    # Those of a key's largest component never meet each other; the others meet all.
+    outer = heads.join(most.select("key", F.col("most.root").alias("most")), "key").filter("root <> most")
+    other = heads.select("key", *[F.col(c).alias(c + "2") for c in ("cls", "n", "root", "after", "before", *BITS)])
+    once = (F.col("root2") == F.col("most")) | (F.col("cls") < F.col("cls2"))
+    enough = F.least("after", "after2") * (p + q) >= (F.col("n") + F.col("n2")) * p
+    return outer.join(other, "key").filter((F.col("root") != F.col("root2")) & once & enough & _alike() & ~F.arrays_overlap("before", "before2"))
+
+
+def _alike() -> Column:
+    """Whether two classes (n, bitmap; n2, bitmap 2) are of sizes and bitmaps that similar sets may have."""
     p, q = SIMILAR
-    pairs = left.join(other.select("key", *[F.col(c).alias(c + "2") for c in ("cls", "n", "root", *BITS)]), "key")
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(b + "2"))) for b in BITS), F.lit(0))
     # Similar sets differ in (q - p) / (q + p) of both sizes at most.
-    pairs = pairs.filter((F.col("root") != F.col("root2")) & (F.least("n", "n2") * q >= F.greatest("n", "n2") * p) & (apart * (p + q) <= (F.col("n") + F.col("n2")) * (q - p)))
-    return pairs.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
+    return (F.least("n", "n2") * q >= F.greatest("n", "n2") * p) & (apart * (p + q) <= (F.col("n") + F.col("n2")) * (q - p))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,24 +203,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "shared-bands")
     shared = materialize(keyed.join(F.broadcast(sizes) if small(sizes) else sizes, "key", "left_semi"), "shared-keys")
     # One text of each class that may have a link is read again.
-    wanted = shared.select("cls").distinct()
-    maps = prints.select("cls", *BITS).join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-    shared = materialize(shared.join(maps, "cls"), "shared-keys")
-    chosen = materialize(prints.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("row_key").alias("row_key")), "candidates")
-    texts = rows.select("row_key", "t").join(F.broadcast(chosen) if small(chosen) else chosen, "row_key").select("cls", "t").dropDuplicates(["cls"])
+    wanted = prints.join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("row_key").alias("row_key"), *[F.min(b).alias(b) for b in BITS])
+    wanted = materialize(wanted, "candidates")
+    maps, chosen = wanted.drop("row_key"), wanted.select("cls", "row_key")
+    texts = rows.select("row_key", "t").join(F.broadcast(chosen) if small(wanted) else chosen, "row_key").select("cls", "t").dropDuplicates(["cls"])
     sets = materialize(texts.mapInArrow(_sets, "cls long, shingles array<long>"), "candidate-sets")
-    tried = materialize(_print_pairs(prints), "print-pairs")
-    edges = materialize(_links(tried, sets), "similar-links")
-    for pick in (F.min, F.max, None):
-        left = _apart(shared, edges)
-        if pick is None:
-            pairs = _rare_pairs(materialize(left.drop("key").distinct(), "open-classes"), sets)
-        else:
-            pairs = _met(left, left.groupBy("key").agg(pick(F.struct("cls", "n", "root", *BITS)).alias("p")).select("key", "p.*"))
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "similar-candidates")
+    tried = materialize(_print_pairs(prints).union(_pivot_pairs(shared.join(maps, "cls"))).distinct(), "similar-candidates")
+    found = materialize(_links(tried, sets), "similar-links")
+    roots = materialize(connected_components(found), "set-components").toDF("cls", "root")
+    open_ = materialize(_open_classes(shared, roots).join(maps, "cls"), "open-classes")
+    if not open_.isEmpty():
+        heads = materialize(_rare_shingles(open_, sets), "rare-shingles")
+        pairs = materialize(_pairs(_rare_rows(heads)).join(tried, ["a", "b"], "left_anti"), "similar-candidates")
         found = materialize(_links(pairs, sets), "similar-links")
-        edges, tried = edges.union(found), tried.union(pairs)
-    roots = materialize(connected_components(edges), "set-components").toDF("cls", "root")
+        if not found.isEmpty():
+            roots = materialize(connected_components(roots.union(found)), "set-components").toDF("cls", "root")
     told = prints.select("doc_id", "row_key", "cls").join(F.broadcast(roots) if small(roots) else roots, "cls", "left")
     return told.select("doc_id", "row_key", F.coalesce("root", "cls").alias("root"))
 
