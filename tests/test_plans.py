@@ -112,6 +112,23 @@ def test_closure_ends_in_cycles(spark):
     assert (1, 3, 1) in got and (1, 2, 1) in got and (4, 4, 0) in got and not any(r[0] == 4 and r[1] != 4 for r in got)
 
 
+def test_recursive_closure_beyond_a_million_paths(spark):
+    """Half a million leaves under a chain: 1.5 million paths, while Spark's recursion ends at a million rows."""
+    nodes = spark.range(500_000).select("id", F.col("id").cast("string").alias("label"))
+    edges = spark.range(1, 500_000).select(F.col("id").alias("child_id"), F.when(F.col("id") < 4, F.col("id") - 1).otherwise(F.col("id") % 4).alias("parent_id"), F.lit("parent").alias("type"))
+    got = {r["depth"]: r["count"] for r in ancestors_sql(spark, nodes, edges).groupBy("depth").count().collect()}
+    want = {r["depth"]: r["count"] for r in ancestors(nodes, edges).groupBy("depth").count().collect()}
+    assert got == want and sum(got.values()) > 10**6
+
+
+def test_recursive_closure_in_parts(spark):
+    r = random.Random(4)
+    nodes = spark.createDataFrame([(i, str(i)) for i in range(40)], "id int, label string")
+    edges = spark.createDataFrame([(r.randrange(60), r.randrange(45), r.choice(["parent", "parent", "influence"])) for _ in range(70)], "child_id int, parent_id int, type string")
+    for depth in (1, 10):
+        assert rows(ancestors_sql(spark, nodes, edges, depth, starts=20)) == rows(ancestors(nodes, edges, depth))
+
+
 def test_cooccurrence(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "a"), (2, "b"), (2, "c"), (3, None)], "g int, x string")
     assert rows(pair_counts(df, "g", "x")) == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
