@@ -94,6 +94,20 @@ def test_exact_percentiles(spark):
     assert exact_percentiles(df.limit(0), ["k"], "v", at).count() == 0
 
 
+def test_exact_percentiles_of_counted_values(spark):
+    """Rows that stand for billions: sums of weights, never a row for each."""
+    r = random.Random(8)
+    data = [(r.choice("ab"), float(r.randrange(300)) / 4, r.randint(1, 5)) for _ in range(400)]
+    df = spark.createDataFrame(data, "k string, v double, n long")
+    at = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for enough in (3, 2000):
+        got = {(row["k"], row["at"]): row["value"] for row in exact_percentiles(df, ["k"], "v", at, bins=8, enough=enough, weight="n").collect()}
+        want = {(k, q): float(np.percentile([v for key, v, n in data if key == k for _ in range(n)], 100 * q)) for k in "ab" for q in at}
+        assert got == pytest.approx(want)
+    many = spark.createDataFrame([(1.0, 3 * 10**10), (2.0, 10**10), (5.0, 10**10)], "v double, n long")
+    assert rows(exact_percentiles(many, [], "v", [0.25, 0.7, 0.9], weight="n"), "at", "value") == [(0.25, 1.0), (0.7, 2.0), (0.9, 5.0)]
+
+
 def test_containment_by_the_rarest_gram(spark):
     """All names begin alike, so their beginnings tell nothing; no key makes most of the candidates."""
     titles = spark.createDataFrame([(i, f"the band {i:03d} live, the best of the {i % 7}") for i in range(300)] + [(900, "Nob"), (901, "xx")], "id int, title string")
