@@ -204,3 +204,18 @@ def test_lifecycle(spark):
     crawl = spark.createDataFrame([(1, "a"), (1, "b"), (1, "n")], "p int, t string")
     got = {(r["p"], r["t"]): (r["change"], r["removed_at"] is not None) for r in merge.lifecycle(state, crawl, ["p", "t"], "p", F.lit("2021-01-01").cast("date")).collect()}
     assert got == {(1, "a"): ("kept", False), (1, "b"): ("restored", False), (1, "c"): ("removed", True), (1, "n"): ("inserted", False), (2, "a"): ("kept", False)}
+
+
+def test_containment_never_sends_the_texts(spark, tmp_path):
+    """Texts come from a file that is small while their grams are not: what is broadcast holds no grams of texts."""
+    spark.range(3000).select("id", F.concat(F.lit("a title of band "), F.col("id").cast("string")).alias("title")).write.parquet(f"{tmp_path}/texts")
+    names = spark.createDataFrame([("Band 17",), ("band 2999",)], "name string")
+    got = containment_join(spark.read.parquet(f"{tmp_path}/texts"), names, "title", "name")
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :|+-*()0123456789"))
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = [x for x in lines[i + 1 :]]
+            under = below[: next((j for j, x in enumerate(below) if depth(x) <= depth(line)), len(below))]
+            assert not any("Generate" in x for x in under)
+    assert got.filter("name = 'band 2999'").count() == 1 and got.count() == 1 + 11 + 100

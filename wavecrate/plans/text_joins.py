@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavecrate.scratch import materialize
+from wavecrate.scratch import materialize, small
 
 GRAM = 3
 
@@ -39,8 +39,10 @@ def containment_join(texts: DataFrame, names: DataFrame, text: str, name: str, t
         of = keys.join(right.select(F.col("__name").alias("name")), "name").groupBy("gram").agg(F.sum("n").alias("n"))
         sums = of.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"), F.coalesce(F.max("n") / F.sum("n"), F.lit(0.0)).alias("largest_share")).first()
         told |= sums.asDict()
-    right = right.join(keys.select(F.col("name").alias("__name"), "gram"), "__name")
-    return left.join(right, "gram").filter(F.contains("__low", "__name")).drop("gram", "__low", "__name")
+    right = materialize(right.join(keys.select(F.col("name").alias("__name"), "gram"), "__name"), "named-grams")
+    # The optimizer takes texts with a row for each gram for as small as the table they came from; they are never sent to all.
+    side = F.broadcast(right) if small(right) else right.hint("merge")
+    return left.join(side, "gram").filter(F.contains("__low", "__name")).drop("gram", "__low", "__name")
 
 
 def token_join(df: DataFrame, ident: str, tokens: str, threshold: float) -> DataFrame:
