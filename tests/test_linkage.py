@@ -114,3 +114,16 @@ def test_divergence(spark):
     artists = spark.createDataFrame([(10, "Bob"), (11, "Ann")], "id long, name string")
     assert [r["id"] for r in linkage.divergent(catalog, links, artists).collect()] == [3]
     assert linkage.unlinked(catalog, links.filter(F.col("catalog_id") > 1)).count() == 1
+
+
+def test_first_holder_pairs_no_holders(spark):
+    """Codes, titles and neither, against all pairs; holders of a crowded id are not joined with each other."""
+    r = random.Random(12)
+    data = [(i, r.choice([None, "p", "q"]), r.choice([None, "", "X", "Y"]), r.choice(["One", "one (Original Mix)", "Two"])) for i in range(60)]
+    df = spark.createDataFrame(data, "id int, platform_id string, isrc string, title string")
+    got = linkage.first_holder(df, df)
+    plain = lambda t: "two" if t == "Two" else "one"
+    same = lambda a, b: a[2] == b[2] if a[2] and b[2] else plain(a[3]) == plain(b[3])
+    held = {a[0]: [b[0] for b in data if a[1] and a[1] == b[1] and a[0] != b[0] and same(a, b)] for a in data}
+    assert {x["id"]: x["holder"] for x in got.collect()} == {i: min(v) for i, v in held.items() if v}
+    assert "NOT (id" not in got._jdf.queryExecution().executedPlan().toString()
